@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.merge_replay import op3_merge_replay
 from kindred.llm.packing import op6_packing
+from kindred.llm.recompression import op10_recompression
 from kindred.llm.simhash import op8_simhash
 from kindred.llm.token_files import op1_token_files
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_merge_replay": op3_merge_replay,
         "op6_packing": op6_packing,
         "op8_simhash": op8_simhash,
+        "op10_recompression": op10_recompression,
     }
 
 
