@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.merge_replay import op3_merge_replay
 from kindred.llm.packing import op6_packing
+from kindred.llm.quality_rules import op2_quality_rules
 from kindred.llm.recompression import op10_recompression
 from kindred.llm.simhash import op8_simhash
+from kindred.llm.sketches import op7_sketches
 from kindred.llm.token_files import op1_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_quality_rules": op2_quality_rules,
         "op3_merge_replay": op3_merge_replay,
         "op6_packing": op6_packing,
+        "op7_sketches": op7_sketches,
         "op8_simhash": op8_simhash,
         "op10_recompression": op10_recompression,
     }
