@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.merge_replay import op3_merge_replay
+from kindred.llm.neighbour_votes import op5_neighbour_votes
 from kindred.llm.packing import op6_packing
 from kindred.llm.quality_rules import op2_quality_rules
 from kindred.llm.recompression import op10_recompression
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": op1_token_files,
         "op2_quality_rules": op2_quality_rules,
         "op3_merge_replay": op3_merge_replay,
+        "op5_neighbour_votes": op5_neighbour_votes,
         "op6_packing": op6_packing,
         "op7_sketches": op7_sketches,
         "op8_simhash": op8_simhash,
