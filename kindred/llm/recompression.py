@@ -152,6 +152,13 @@ def _windows_hash(names: np.ndarray, starts, window: int) -> list[int]:
     return [xxh3_64_intdigest(raw[8 * p : 8 * (p + window)]) for p in starts]
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n modulo 2^64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def chunks(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW):
     """Chunks of concatenated documents: (document, key, chunk hash, first window, last window), windows as in the whole."""
     from xxhash import xxh3_64_intdigest
@@ -164,9 +171,8 @@ def chunks(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW):
     _, doc, _, _, left, right = symbols(names, lengths)
     fits = (left >= first[doc]) & (right <= last[doc]) & (right - left <= context)
     left, right = left[fits], right[fits]
-    powers = np.cumprod(np.concatenate([[1], np.full(total, _BASE, np.uint64)]).astype(np.uint64))
-    inverse = np.cumprod(np.concatenate([[1], np.full(total, _INVERSE, np.uint64)]).astype(np.uint64))
-    sums = np.concatenate([[_U(0)], np.cumsum(names * powers[:-1])])
+    powers, inverse = _powers(_BASE, total), _powers(_INVERSE, total)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * powers[:-1], dtype=np.uint64)])
     key = _mix((sums[right] - sums[left]) * inverse[left] + (right - left).astype(np.uint64))
     least = np.full(total + slots, _TOP)
     np.minimum.at(least, left, key)
