@@ -17,6 +17,11 @@ _GENERAL = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _SPACE_RUN = re.compile(r"\s[ \n]")
 _MARKS = ".,;:!?|%$&*#()\"-"
 
+#: Texts that are looked up together.
+SLICE = 200
+#: Pieces whose ids a worker keeps: up to some 350 MB.
+KEPT = 1_500_000
+
 
 class ChunkCache:
     """``encode_many`` maps pieces to what is kept for each; a text gives the list of its pieces' values."""
@@ -53,23 +58,35 @@ class ChunkCache:
         new = list(pieces.difference(self.plain))
         self.plain.update(zip(new, self.encode_many(new)))
 
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces, in order."""
-        fast, slow = {}, {}
-        for i, t in enumerate(texts):
+    def values(self, texts: list[str], finish: Callable = list) -> list:
+        """For each text what ``finish`` makes of the values of its pieces, in order."""
+        out: list = []
+        for i in range(0, len(texts), SLICE):
+            out += self._slice(texts[i : i + SLICE], finish)
+        return out
+
+    def _slice(self, texts: list[str], finish: Callable) -> list:
+        split, heads = [], []
+        for t in texts:
             if _SPACE_RUN.search(t):
-                slow[i] = _GENERAL.findall(t)
+                split.append(_GENERAL.findall(t))
+                heads.append(None)
             else:
-                fast[i] = t.replace("\n", " \n").split(" ")
-        self._learn_plain({p[0] for p in fast.values()} - {""} | set(chain.from_iterable(slow.values())))
-        self._learn(set(chain.from_iterable(p[1:] for p in fast.values())))
-        out: list[list] = [[]] * len(texts)
+                p = t.replace("\n", " \n").split(" ")
+                heads.append(p.pop(0))
+                split.append(p)
+        apart = [p for p, h in zip(split, heads) if h is None]
+        self._learn_plain({h for h in heads if h}.union(*apart))
+        self._learn(set(chain.from_iterable(p for p, h in zip(split, heads) if h is not None)))
         spaced, plain = self.spaced.__getitem__, self.plain.__getitem__
-        for i, p in fast.items():
-            head = [plain(p[0])] if p[0] else []
-            out[i] = head + list(map(spaced, p[1:]))
-        for i, p in slow.items():
-            out[i] = list(map(plain, p))
+        out = []
+        for p, h in zip(split, heads):
+            if h is None:
+                out.append(finish(map(plain, p)))
+            elif h:
+                out.append(finish(chain((plain(h),), map(spaced, p))))
+            else:
+                out.append(finish(map(spaced, p)))
         return out
 
 
@@ -95,5 +112,5 @@ def library_ids(path: str, texts: list[str]) -> list[bytes]:
                 found += [np.array(x.ids, "<u4").tobytes() for x in part]
             return found
 
-        _CACHES[path] = ChunkCache(encode, b"".join)
-    return [b"".join(x) for x in _CACHES[path].values(texts)]
+        _CACHES[path] = ChunkCache(encode, b"".join, KEPT)
+    return _CACHES[path].values(texts, b"".join)
