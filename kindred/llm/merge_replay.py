@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from kindred.llm.common import bounded_batches, documents, text_of
 
 NONE = 1 << 30
 SHIFT = 20
+#: Pieces whose ids a worker keeps: up to some 300 MB.
+KEPT = 700_000
 
 
 class Vocabulary:
@@ -147,9 +150,9 @@ def _cached(path: str, pattern: str) -> tuple[Vocabulary, ChunkCache]:
             names = list({w for f in found for w in f})
             ids = dict(zip(names, replay([w.encode("utf-8", "surrogatepass") for w in names], vocabulary)))
             rows = [[i for w in f for i in ids[w]] for f in found]
-            return [(np.array(r, "<u4").tobytes(), "".join([f"{i}," for i in r])) for r in rows]
+            return [(array("I", r).tobytes(), "".join([f"{i}," for i in r])) for r in rows]
 
-        _CACHES[path] = vocabulary, ChunkCache(encode, lambda x: (x[0][0] + x[1][0], x[0][1] + x[1][1]), 300_000)
+        _CACHES[path] = vocabulary, ChunkCache(encode, lambda x: (x[0][0] + x[1][0], x[0][1] + x[1][1]), KEPT)
     return _CACHES[path]
 
 
