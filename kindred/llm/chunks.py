@@ -35,9 +35,6 @@ class ChunkCache:
         """Learn pieces that follow a space; ``word.`` is put together from ``word`` and ``.``."""
         if not (new := pieces.difference(self.spaced)):
             return
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
-            new = pieces
         whole, parts = [], []
         for p in new:
             core = p.rstrip(_MARKS)
@@ -53,8 +50,6 @@ class ChunkCache:
             self.spaced[p] = self.join((self.spaced[core], self.plain[marks]))
 
     def _learn_plain(self, pieces: set[str]) -> None:
-        if len(self.plain) > self.limit:
-            self.plain.clear()
         new = list(pieces.difference(self.plain))
         self.plain.update(zip(new, self.encode_many(new)))
 
@@ -66,6 +61,9 @@ class ChunkCache:
         return out
 
     def _slice(self, texts: list[str], finish: Callable) -> list:
+        for kept in (self.spaced, self.plain):  # only here, so that nothing a slice has learnt goes before it is used
+            if len(kept) > self.limit:
+                kept.clear()
         split, heads = [], []
         for t in texts:
             if _SPACE_RUN.search(t):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, text_of
+from kindred.llm.common import bounded_batches, documents, free_name, text_of
 
 SAMPLE = 2_000
 TERMS = 2_048
@@ -174,7 +174,8 @@ def with_score(docs: DataFrame, model: VoteModel, text_col: str = "text", name:
 
 def keep_quality(docs: DataFrame, model: VoteModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents with a score of ``least`` or more, with their own columns."""
-    return with_score(docs, model, text_col, "_score").where(F.col("_score") >= least).select(*docs.columns)
+    name = free_name(docs, "score")
+    return with_score(docs, model, text_col, name).where(F.col(name) >= least).drop(name)
 
 
 def op5_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

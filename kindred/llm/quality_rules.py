@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, documents, text_of, written
+from kindred.llm.common import WORD, documents, text_of, whole_row, written
 
 #: Common words of each language with a reference.
 COMMON = {
@@ -140,7 +140,9 @@ def rule_report(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text"
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judged(written(with_counts(docs, text_col, lang_col), "rules")).where("kept").select(*docs.columns)
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    rows = docs.select(whole_row(docs).alias("doc"), text_of(text_col).alias("text"), lang.cast("string").alias("lang"))
+    return judged(written(with_counts(rows).select("doc", "_rules"), "rules")).where("kept").select("doc.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, text_of, written
+from kindred.llm.common import bounded_batches, documents, free_name, text_of, whole_row, written
 
 WINDOW = 50
 CAP = 12
@@ -307,8 +307,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id",
     keyed = _keyed(docs, doc_col, text_col)
     spans = repeated_windows(keyed, window)
     names = docs.columns
-    tagged = docs.select(*names, F.col(doc_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("row"))
-    joined = tagged.join(spans, ["doc", "row"], "left").select(*[tagged[n] for n in names], "spans")
+    tagged = docs.select(whole_row(docs).alias("whole"), F.col(doc_col).cast("long").alias("doc"), F.xxhash64(text_of(text_col)).alias("row"))
+    joined = tagged.join(spans, ["doc", "row"], "left").select("whole.*", F.col("spans").alias(free_name(docs, "spans")))
     at, count = names.index(text_col), names.index(count_col) if count_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

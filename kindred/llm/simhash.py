@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, text_of, written
+from kindred.llm.common import bounded_batches, documents, text_of, whole_row, written
 from kindred.llm.components import connected_components
 
 THRESHOLD = 4
@@ -235,8 +235,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, doc_col: s
     best = F.min(F.struct(F.col("_doc").isNull().alias("n"), "_id", "_row"))
     of_print = prints.groupBy("fingerprint").agg(best.alias("best"))
     winners = of_print.join(components_of(prints, threshold), "fingerprint").groupBy("component").agg(F.min("best").alias("best")).select("best._id", "best._row")
-    keyed = docs.select(*docs.columns, *key)
-    return keyed.join(winners, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    keyed = docs.select(whole_row(docs).alias("doc"), *key)
+    return keyed.join(winners, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select("doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ larger than ``MAX_BYTES``, the listed keys are joined instead.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and fits no rule; a url that no
 rule fits is allowed, as it has no listed key; repeated rows and null ids are judged like any; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns stay, but for those named host, path, rule or verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     spark = pages.sparkSession
     bounded_batches(spark)
     lengths = sorted({len(p) for _, _, p in rules})
-    parted = with_parts(pages, url_col)
+    parted = with_parts(pages.drop("host", "path", "rule", "verdict"), url_col)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
