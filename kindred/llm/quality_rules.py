@@ -132,7 +132,9 @@ def judged(tagged: DataFrame) -> DataFrame:
 
 
 def rule_report(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    counted = with_counts(docs, text_col, lang_col).select(F.col(doc_col).alias("doc_id"), "_rules")
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    rows = docs.select(F.col(doc_col).alias("doc_id"), text_of(text_col).alias("text"), lang.cast("string").alias("lang"))
+    counted = with_counts(rows).select("doc_id", "_rules")
     df = judged(written(counted, "rules"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select("doc_id", *[F.col(f"_rules.{n}") for n in names], "base_failed", "kept", "class_distance", "common_distance")
