@@ -76,7 +76,8 @@ def _weighted(found: DataFrame, weights) -> DataFrame:
         for batch in batches:
             for q, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = np.asarray(weights(np.array([[x["distance"] for x in n]])), float)[0]
-                yield pa.RecordBatch.from_pylist([{"query_id": q, **x, "w": float(v)} for x, v in zip(n, w)])
+                made = pa.Table.from_pylist([{"query_id": q, **x, "w": float(v)} for x, v in zip(n, w)])
+                yield from made.set_column(1, "rank", made["rank"].cast(pa.int32())).to_batches()
 
     return rows.mapInArrow(run, f"query_id {kind[0]}, rank int, neighbor_position long, neighbor_id {kind[1]}, distance double, w double")
 

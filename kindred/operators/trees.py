@@ -67,7 +67,7 @@ def features_per_split(rule: str | int | float | None, p: int) -> int:
 
 
 def _impurity(sums: np.ndarray, squares: np.ndarray, w: np.ndarray, criterion: str) -> np.ndarray:
-    """Weighted impurity of nodes from their sums of (one-hot) targets."""
+    """Weighted impurity of nodes from their sums of (one-hot) targets and of the targets' second terms."""
     mean = sums / w[..., None]
     if criterion in ("gini",):
         return w * (1 - (mean**2).sum(-1))
@@ -76,10 +76,18 @@ def _impurity(sums: np.ndarray, squares: np.ndarray, w: np.ndarray, criterion: s
             return -w * np.where(mean > 0, mean * np.log2(mean), 0).sum(-1)
     if criterion == "poisson":
         with np.errstate(divide="ignore", invalid="ignore"):
-            return -np.where(mean > 0, sums * np.log(mean), 0).sum(-1)
+            return squares - np.where(mean > 0, sums * np.log(mean), 0).sum(-1)
     return squares - (sums**2).sum(-1) / w
 
 
+def _second(y: np.ndarray, criterion: str) -> np.ndarray:
+    """y log y for the Poisson deviance, else the square."""
+    if criterion != "poisson":
+        return y**2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(y > 0, y * np.log(y), 0.0)
+
+
 def _absolute(y: np.ndarray, w: np.ndarray) -> float:
     order = np.argsort(y)
     half = np.searchsorted(np.cumsum(w[order]), w.sum() / 2)
@@ -98,12 +106,13 @@ class Grower:
         self._n, self._w = n, float(w.sum())
         least, split_at = _count(self.min_samples_leaf, n), _count(self.min_samples_split, n)
         tries = features_per_split(self.max_features, p)
+        second = _second(y, self.criterion)
         nodes: list[list] = []
 
         def node(rows: np.ndarray) -> int:
             ww = w[rows]
             total = ww.sum()
-            sums, squares = (ww[:, None] * y[rows]).sum(0), float((ww[:, None] * y[rows] ** 2).sum())
+            sums, squares = (ww[:, None] * y[rows]).sum(0), float((ww[:, None] * second[rows]).sum())
             impurity = _absolute(y[rows, 0], ww) if self.criterion == "absolute_error" else float(_impurity(sums[None], np.array([squares]), np.array([total]), self.criterion)[0])
             nodes.append([-1, 0.0, -1, -1, sums / total, impurity, total])
             return len(nodes) - 1
@@ -124,7 +133,7 @@ class Grower:
                     continue
                 cw = np.cumsum(ws)
                 cs = np.cumsum(ws[:, None] * y[order], axis=0)
-                cq = np.cumsum(ws * (y[order] ** 2).sum(1))
+                cq = np.cumsum(ws * second[order].sum(1))
                 lw, rw = cw[cuts - 1], cw[-1] - cw[cuts - 1]
                 fits = (lw >= self.min_weight_fraction_leaf * self._w) & (rw >= self.min_weight_fraction_leaf * self._w) & (lw > 0) & (rw > 0)
                 cuts, lw, rw = cuts[fits], lw[fits], rw[fits]
