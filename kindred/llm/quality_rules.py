@@ -148,4 +148,65 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_report(documents(spark, sf_dir))
+    return rule_report(documents(spark, sf_dir)).drop("class_distance", "common_distance")
+
+
+def _op2_sql() -> str:
+    left, steps, counts = "t", [], []
+    for i, pattern in enumerate(CLASSES):
+        steps.append(f"regexp_replace({left}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i}")
+        before = "length(t)" if i == 0 else f"length(t{i - 1})"
+        counts.append(f"{before} - length(t{i})")
+        left = f"t{i}"
+    counts.append(f"length(t{len(CLASSES) - 1})")
+    lists = " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON.items())
+    share = "[CASE WHEN n > 0 THEN CAST(floor(x * 1000000 / n) AS BIGINT) ELSE 0 END FOR x IN {h}]"
+    n, m = len(CLASSES) + 1, 9
+    sums = lambda h, k: "[" + ", ".join(f"sum({h}[{i + 1}])" for i in range(k)) + "]"
+
+    def distance(doc: str, ref: str) -> str:
+        part = "CASE WHEN z[{k}] > 0 THEN z[{k}] * log2(z[{k}] / ((z[1] + z[2]) / 2)) ELSE 0 END"
+        pairs = f"list_zip([x::DOUBLE / list_sum({doc}) FOR x IN {doc}], [x::DOUBLE / list_sum({ref}) FOR x IN {ref}])"
+        return f"CASE WHEN list_sum({doc}) > 0 AND list_sum({ref}) > 0 THEN sqrt(greatest(list_sum([{part.format(k=1)} + {part.format(k=2)} FOR z IN {pairs}]) / 2, 0)) END"
+
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON)}) THEN lang END AS lang,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), classes AS (
+  SELECT *, {", ".join(steps)} FROM texts
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM texts, unnest(range(1, len(ws) - {WINDOW - 2})) AS s(i)
+), again AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, [{", ".join(counts)}] AS c,
+         [len(list_filter(ws, lambda w: w = b)) FOR b IN CASE lang {lists} ELSE {COMMON["en"]} END] AS common
+  FROM classes LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)
+), binned AS (
+  SELECT *, list_append(common, n_words - list_sum(common)) AS w FROM counted
+), shares AS (
+  SELECT lang, {share.format(h="c").replace("n ", "n_chars ").replace("/ n)", "/ n_chars)")} AS c, {share.format(h="w").replace("n ", "n_words ").replace("/ n)", "/ n_words)")} AS w
+  FROM binned WHERE lang IS NOT NULL AND n_words >= {MIN_WORDS}
+), refs AS (
+  SELECT lang, {sums("c", n)} AS rc, {sums("w", m)} AS rw FROM shares GROUP BY lang
+), whole AS (
+  SELECT {sums("rc", n)} AS ac FROM refs
+), far AS (
+  SELECT b.*, CASE WHEN n_chars >= {MIN_CHARS} THEN {distance("c", "coalesce(rc, ac)")} END AS dc,
+         CASE WHEN n_words >= {MIN_WORDS} THEN {distance("w", "rw")} END AS dw,
+         n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed
+  FROM binned b LEFT JOIN refs USING (lang), whole
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(dc, 0) <= {MAX_CLASS} + {CLASS_SLACK} / sqrt(greatest(n_words, 1)) AND coalesce(dw, 0) <= {MAX_COMMON} + {COMMON_SLACK} / sqrt(greatest(n_words, 1)) AS kept
+FROM far
+"""
+
+
+OP2_SQL = _op2_sql()

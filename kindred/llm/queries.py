@@ -10,8 +10,8 @@ from kindred.llm.licences import op4_licences
 from kindred.llm.merge_replay import op3_merge_replay
 from kindred.llm.neighbour_votes import op5_neighbour_votes
 from kindred.llm.packing import op6_packing
-from kindred.llm.quality_rules import op2_quality_rules
-from kindred.llm.recompression import op10_recompression
+from kindred.llm.quality_rules import OP2_SQL, op2_quality_rules
+from kindred.llm.recompression import OP10_SQL, op10_recompression
 from kindred.llm.simhash import op8_simhash
 from kindred.llm.sketches import op7_sketches
 from kindred.llm.token_files import op1_token_files
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_cascade": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op9_url_cascade": OP9_SQL, "op10_recompression": OP10_SQL}

@@ -347,3 +347,24 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id",
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM texts, unnest(range(1, len(ws) - 48)) AS t(i)
+), least AS (
+  SELECT g, min(doc_id) AS d FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN least USING (g) WHERE d < doc_id
+), lists AS (
+  SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM texts
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS k FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM texts LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -5,9 +5,8 @@ sketches of a corpus's parts merge by union and the containment of a short text
 can be estimated from what both kept. A text whose shingles all lie above the threshold keeps its
 least hash.
 
-Neighbours in descending doc_id order are found without one global window: documents are dealt to
-ranges of equal size by exact counts of quantile cells, and the first row of a range is sent along
-to the range before it.
+Neighbours in descending doc_id order are found without one global window: documents are dealt to ranges of
+ids, and the first row of each range is sent along to the range above it.
 
 Defined cases: a null or empty text has the empty fingerprint; two empty fingerprints have likeness
 1, an empty and another 0; a text of fewer words than a shingle is one shingle; null ids come last in
@@ -25,8 +24,9 @@ from kindred.llm.common import WORD, documents, text_of
 SHINGLE = 5
 #: One of so many hashes is kept.
 SCALE = 8
-#: Ranges of ids: a range for each so many rows, up to a fixed number of ranges, whose bounds are literals.
-RANGE_ROWS, MAX_RANGES = 2_000, 1_024
+#: Rows of a range of ids, and how many cells between quantiles there are at most; each cell has at most as
+#: many parts, so ranges are about a million at most.
+RANGE_ROWS, MAX_CELLS = 2_000, 1_024
 
 
 def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -61,59 +61,61 @@ def merge_sketches(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return one.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
-def _ranges(docs: DataFrame, rows: int, most: int) -> list[int]:
-    """Bounds of ranges of about ``rows`` ids, from one aggregate over all ids; at most ``most`` of them."""
-    n = docs.count()
-    parts = min(most, max(1, n // rows))
-    if parts == 1:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    found = docs.where(F.col("_id").isNotNull()).agg(F.percentile_approx("_id", shares, max(10_000, 20 * parts)).alias("q")).first()["q"] or []
-    return sorted(set(found))
-
-
-def _range_of(bounds: list[int], lo: int = 0, hi: int | None = None) -> str:
-    """How many bounds are below an id, as a tree of comparisons."""
+def _tree(bounds: list[int], values: list[str], lo: int = 0, hi: int | None = None) -> str:
+    """The value of the cell that an id is in, as a tree of comparisons; cells end with their bounds."""
     hi = len(bounds) if hi is None else hi
     if lo == hi:
-        return str(lo)
+        return values[lo]
     mid = (lo + hi) // 2
-    return f"IF(_id <= {bounds[mid]}L, {_range_of(bounds, lo, mid)}, {_range_of(bounds, mid + 1, hi)})"
+    return f"IF(_id <= {bounds[mid]}L, {_tree(bounds, values, lo, mid)}, {_tree(bounds, values, mid + 1, hi)})"
 
 
-def _lookup(pairs: list[tuple[int, str]]) -> str:
-    """A value for each range, as a tree of comparisons; pairs are sorted."""
-    if len(pairs) == 1:
-        return pairs[0][1]
-    mid = len(pairs) // 2
-    return f"IF(_range < {pairs[mid][0]}, {_lookup(pairs[:mid])}, {_lookup(pairs[mid:])})"
+def _range_of(ids: DataFrame, rows: int, most: int) -> Column:
+    """A number for each id that never falls as ids rise, and that about ``rows`` rows share.
 
-
-def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows: int = RANGE_ROWS, most: int = MAX_RANGES) -> DataFrame:
+    Cells between quantiles of all ids hold equal counts; where there would be more than ``most`` cells, each is
+    cut into up to ``most`` parts of equal width.
+    """
+    n, least, largest = ids.agg(F.count("_id"), F.min("_id"), F.max("_id")).first()
+    wanted = max(1, n // rows)
+    cells = min(most, wanted)
+    bounds: list[int] = []
+    if cells > 1:
+        shares = [i / cells for i in range(1, cells)]
+        bounds = sorted(set(ids.where(F.col("_id").isNotNull()).agg(F.percentile_approx("_id", shares, max(10_000, 20 * cells)).alias("q")).first()["q"]))
+    parts = min(most, -(-wanted // (len(bounds) + 1)))
+    number = F.expr(_tree(bounds, [str(i) for i in range(len(bounds) + 1)])).cast("long")
+    if parts > 1:
+        edges = [least - 1, *bounds, largest]
+        low = F.expr(_tree(bounds, [f"{x}D" for x in edges[:-1]]))
+        width = F.expr(_tree(bounds, [f"{max(1, y - x)}D" for x, y in zip(edges, edges[1:])]))
+        part = F.least(F.floor((F.col("_id").cast("double") - low) * parts / width), F.lit(parts - 1))
+        number = number * parts + F.greatest(part, F.lit(0))
+    return F.when(F.col("_id").isNull(), F.lit(-1).cast("long")).otherwise(number)
+
+
+def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows: int = RANGE_ROWS, most: int = MAX_CELLS) -> DataFrame:
     """``df`` with the named columns of the next row in descending id order; after the last row comes the first.
 
     ``columns`` maps a column to the name that the next row's value gets.
     """
     own = df.columns
-    order = [F.col("_id").desc_nulls_last(), "_tie"]
+    null_id = -(1 << 63)
     ids = df.select(F.col(id_col).cast("long").alias("_id"))
-    bounds = _ranges(ids, rows, most)
-    keyed = df.select(*own, F.col(id_col).cast("long").alias("_id"), F.xxhash64(*columns).alias("_tie"))
-    keyed = keyed.withColumn("_range", F.when(F.col("_id").isNull(), -1).otherwise(F.expr(_range_of(bounds))))
-    # the first id of each range goes to the next range above it that has rows; that of the top range to the lowest
-    found = ids.withColumn("_range", F.when(F.col("_id").isNull(), -1).otherwise(F.expr(_range_of(bounds)))).groupBy("_range").agg(F.max("_id").alias("first")).collect()
-    heads = sorted((r["_range"], r["first"]) for r in found)  # a row a range: MAX_RANGES + 1 at most
-    if not heads:
-        return keyed.select(*own, *[F.col(c).alias(n) for c, n in columns.items()])
-    above = {r: heads[(i + 1) % len(heads)][0] for i, (r, _) in enumerate(heads)}
-    least = -(1 << 63)
-    first = F.expr(_lookup([(r, f"{least + 1}L - 1" if f is None else f"{f}L") for r, f in heads]))
-    target = F.expr(_lookup([(r, str(t)) for r, t in above.items()]))
-    is_head = F.coalesce("_id", F.lit(least)) == first
+    number = _range_of(ids, rows, most)
+    # a row for each range: its largest id, and the range above it; above the highest comes the lowest
+    heads = ids.withColumn("_range", number).groupBy("_range").agg(F.coalesce(F.max("_id"), F.lit(null_id)).alias("_first"))
+    upwards = Window.orderBy("_range")
+    lowest = F.first("_range").over(upwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.withColumn("_above", F.coalesce(F.lead("_range").over(upwards), lowest))
+
+    keyed = df.select(*own, F.col(id_col).cast("long").alias("_id"), F.xxhash64(*columns).alias("_tie")).withColumn("_range", number)
+    keyed = keyed.join(F.broadcast(heads), "_range")  # most * most rows of three numbers at most
     here = F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost"))
-    there = F.struct(target.alias("r"), F.lit(True).alias("ghost"))
+    there = F.struct(F.col("_above").alias("r"), F.lit(True).alias("ghost"))
+    is_head = F.coalesce("_id", F.lit(null_id)) == F.col("_first")
     sent = keyed.withColumn("_to", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))))
-    w = Window.partitionBy("_to.r").orderBy("_to.ghost", *order)
+    w = Window.partitionBy("_to.r").orderBy("_to.ghost", F.col("_id").desc_nulls_last(), "_tie")
     following = {n: F.lead(c).over(w) for c, n in columns.items()}
     return sent.withColumns(following).where("NOT _to.ghost").select(*own, *columns.values())
 

@@ -134,7 +134,7 @@ def brute_sketch(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("rows, most", [(2000, 1024), (7, 1024), (3, 4)])
+@pytest.mark.parametrize("rows, most", [(2000, 1024), (7, 1024), (3, 4), (1, 2), (1, 3)])
 def test_next_rows_in_any_number_of_ranges(spark, rows, most):
     ids = [5, 1, 9, 30, 31, 32, 33, 100, 1000, -4, 77, 78, 79, 12, None]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string")
@@ -341,6 +341,19 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert cascade.contains(listed).all() and not cascade.contains(other).any()
 
 
+def test_sql_agrees(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    for t in ("documents", "pages"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, folder).toPandas(), duckdb.sql(sql).df()
+        names = sorted(got.columns)
+        a, b = (x[names].sort_values("doc_id" if "doc_id" in names else "page_id").reset_index(drop=True).astype(object) for x in (got, want))
+        assert names == sorted(want.columns) and a.where(a.notna(), None).equals(b.where(b.notna(), None)), name
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
