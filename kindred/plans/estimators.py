@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import copy
 import inspect
+import pickle
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +91,17 @@ class KNNRegressor:
         self.__dict__.pop("_independent", None)
         return self
 
+    def save(self, path: str) -> None:
+        """The references as a table and the fitted state beside it, in any store that Spark writes to."""
+        self._checked()
+        state = {k: v for k, v in self.__dict__.items() if k not in ("references_", "index_", "_independent")}
+        state["transformer_"] = copy.copy(self.transformer_)
+        if hasattr(self.transformer_, "ordination_"):
+            state["transformer_"].ordination_ = None  # it holds the table; its projection is in the transformer
+        self.references_.write.parquet(f"{path}/references")
+        spark = self.references_.sparkSession
+        spark.createDataFrame([(bytearray(pickle.dumps((type(self), state))),)], "state binary").coalesce(1).write.parquet(f"{path}/state")
+
     def _checked(self) -> None:
         if not hasattr(self, "index_"):
             raise RuntimeError(f"This {type(self).__name__} instance is not fitted yet. Call 'fit' with appropriate arguments before using this estimator.")
@@ -273,5 +285,15 @@ def grid_search(estimator: KNNRegressor, grid: dict[str, Sequence], df: DataFram
     return best[0], best[1], results
 
 
+def load_model(spark: SparkSession, path: str) -> KNNRegressor:
+    """A saved model. Its state is a pickle: load only what you trust."""
+    kind, state = pickle.loads(bytes(spark.read.parquet(f"{path}/state").first()[0]))
+    model = kind.__new__(kind)
+    model.__dict__.update(state)
+    model.references_ = spark.read.parquet(f"{path}/references")
+    model.index_ = NeighbourIndex(model._in_space(model.references_), model.id_col, SPACE, model.targets, **model._metric())
+    return model
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
