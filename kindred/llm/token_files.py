@@ -121,14 +121,16 @@ class TokenFile:
 def _put(path: str, data: bytes) -> None:
     """Write under another name, then move: a lost or repeated task leaves no half file."""
     import os
+    import uuid
 
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
     store.create_dir(os.path.dirname(at), recursive=True)
-    with store.open_output_stream(f"{at}.{os.getpid()}.tmp") as out:
+    part = f"{at}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(part) as out:
         out.write(data)
-    store.move(f"{at}.{os.getpid()}.tmp", at)
+    store.move(part, at)
 
 
 def open_token_file(path: str) -> TokenFile:
