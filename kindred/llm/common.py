@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +14,69 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Upper bounds of one Arrow batch handed to Python, whatever the text lengths are.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
+_MADE: list[str] = []
+_CLEAR: dict[str, Callable[[], None]] = {}
 
-def scratch(spark: SparkSession, name: str) -> str:
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Called in a worker by the operator whose caches are to stay; those of other operators are emptied,
+    as workers live on from one operator to the next."""
+    for other, empty in _CLEAR.items():
+        if other != name:
+            empty()
+    _CLEAR[name] = clear
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path for a written table in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    a single machine) a temporary folder takes its place.
+    a single machine) a temporary folder takes its place. :func:`release` removes it unless ``keep``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/kindred-{uuid.uuid4().hex[:12]}/{name}"
+    path = f"{base.rstrip('/')}/kindred-{uuid.uuid4().hex[:12]}/{name}"
+    if not keep:
+        _MADE.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    _remove(df.sparkSession, df.written_to)
+
+
+def made() -> list[str]:
+    """Paths of the tables written so far, but for those to keep and those removed."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables: only when what was made from them is written too. Empties the list."""
+    while paths:
+        _remove(spark, paths.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _MADE:
+        _MADE.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

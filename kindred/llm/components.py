@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import written
+from kindred.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,8 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
         before, state = state, _state(edges)
+        discard(old)
         if before == state:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, free_name, text_of, whole_row, written
+from kindred.llm.common import bounded_batches, discard, documents, free_name, hold, text_of, whole_row, written
 
 WINDOW = 50
+#: Words that are parsed together, but for longer documents.
+PART_WORDS = 200_000
 CAP = 12
 ROUNDS = 3
 #: Widest context of a symbol that can be a key, as a part of the window.
@@ -64,6 +66,10 @@ class _Names(dict):
 _NAMES = _Names()
 
 
+def _own_caches() -> None:
+    hold("names", _NAMES.clear)
+
+
 def word_names(words: list[bytes]) -> np.ndarray:
     return np.array([_NAMES[w] for w in words], np.uint64)
 
@@ -205,18 +211,24 @@ def chunks(names: np.ndarray, lengths: np.ndarray, window: int = WINDOW):
 
 def _chunk_table(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_caches()
         for batch in batches:
             words = [t.encode("utf-8", "surrogatepass").split() for t in batch.column(2).to_pylist()]
-            words = [w if len(w) >= window else [] for w in words]
-            lengths = np.array([len(w) for w in words], np.int64)
-            if not lengths.sum():
-                continue
-            names = np.concatenate([word_names(w) for w in words])
-            owner, key, chunk, lo, hi = chunks(names, lengths, window)
-            begin = (np.cumsum(lengths) - lengths)[owner]
-            rows = [batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner], key.view(np.int64), chunk.view(np.int64), (lo - begin).astype(np.int32), (hi - begin).astype(np.int32)]
-            for i in range(0, len(owner), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 50_000]) for r in rows], ["doc", "row", "key", "chunk", "lo", "hi"])
+            ends = np.cumsum([len(w) for w in words])
+            for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(ends // PART_WORDS)) + 1):
+                yield from chunk_rows(batch.take(pa.array(part)), [words[i] for i in part])
+
+    def chunk_rows(batch: pa.RecordBatch, words: list) -> Iterator[pa.RecordBatch]:
+        words = [w if len(w) >= window else [] for w in words]
+        lengths = np.array([len(w) for w in words], np.int64)
+        if not lengths.sum():
+            return
+        names = np.concatenate([word_names(w) for w in words])
+        owner, key, chunk, lo, hi = chunks(names, lengths, window)
+        begin = (np.cumsum(lengths) - lengths)[owner]
+        rows = [batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner], key.view(np.int64), chunk.view(np.int64), (lo - begin).astype(np.int32), (hi - begin).astype(np.int32)]
+        for i in range(0, len(owner), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 50_000]) for r in rows], ["doc", "row", "key", "chunk", "lo", "hi"])
 
     return keyed.where(F.col("doc").isNotNull()).mapInArrow(run, "doc long, row long, key long, chunk long, lo int, hi int")
 
@@ -244,19 +256,20 @@ def _window_table(asked: DataFrame, window: int) -> DataFrame:
 def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, row, spans) for the documents with repeats; spans are first and last windows to remove."""
     table = written(_chunk_table(keyed, window), "chunks")
-    distinct = table.groupBy("key", "chunk").agg(F.min(F.struct("doc", "row", "lo", "hi")).alias("rep"), F.max("doc").alias("most"))
-    distinct = distinct.select("key", "chunk", "rep", F.col("rep.doc").alias("least"), "most")
+    distinct = table.groupBy("key", "chunk").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     # a key of one document only has nothing to remove; a key of one chunk needs no look at its windows
     of_key = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("most").alias("b")).where("a < b")
-    shared = written(distinct.join(of_key.select("key", "n"), "key"), "shared")
+    shared = distinct.join(of_key.select("key", "n"), "key").select("key", "chunk", "least", "n")
+    found = written(table.join(shared, ["key", "chunk"]), "shared")
+    discard(table)
 
-    asked = shared.where("n > 1").groupBy(F.col("rep.doc").alias("doc"), F.col("rep.row").alias("row")).agg(F.collect_list(F.struct("key", "chunk", "rep.lo", "rep.hi")).alias("wanted"))
+    one = found.where("n > 1 AND doc = least").groupBy("key", "chunk", "doc").agg(F.min(F.struct("row", "lo", "hi")).alias("rep"))
+    asked = one.groupBy("doc", "rep.row").agg(F.collect_list(F.struct("key", "chunk", "rep.lo", "rep.hi")).alias("wanted"))
     texts = keyed.join(asked, ["doc", "row"]).dropDuplicates(["doc", "row"])
     windows = written(_window_table(texts.select("doc", "text", "wanted"), window), "windows")
     least = windows.groupBy("key", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     later = windows.join(least, ["key", "hash"]).where("least < doc").groupBy("key", "chunk").agg(F.collect_set("offset").alias("offsets"))
 
-    found = table.join(shared.select("key", "chunk", "least"), ["key", "chunk"])
     whole = found.where("doc > least").select("doc", "row", F.struct("lo", "hi").alias("span"))
     offset = F.col("lo") + F.col("offset")
     single = found.where("doc = least").join(later, ["key", "chunk"]).withColumn("offset", F.explode("offsets")).select("doc", "row", F.struct(offset.alias("lo"), offset.alias("hi")).alias("span"))
