@@ -1,15 +1,19 @@
 """A corpus pipeline: quality rules, quality classifier, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. As a stage's result is
+written before the next begins, each stage first removes the tables that earlier ones wrote on their way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm.common import documents, written
+from kindred.llm.common import documents, made, release, written
 from kindred.llm.neighbour_votes import fit_votes, keep_quality
 from kindred.llm.packing import pack_sequences
 from kindred.llm.quality_rules import keep_good
@@ -17,11 +21,30 @@ from kindred.llm.recompression import drop_repeats
 from kindred.llm.simhash import drop_near_duplicates
 
 
+_LEFT: list[str] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Removes what the stage before has written on its way, and notes what this one writes."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT)
+        before = set(made())
+        out = function(spark, docs, sf_dir)
+        _LEFT.extend(p for p in made() if p not in before)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language's references go."""
     return keep_good(docs)
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half go. Labelled rows are learnt from as they stand in the
     documents table, so that the rejected ones of earlier stages still teach."""
@@ -29,16 +52,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_quality(docs, fit_votes(documents(spark, sf_dir).select("doc_id", "text"), labels))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
     return drop_near_duplicates(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of a smaller doc_id has are cut out of the text."""
     return drop_repeats(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,5 +85,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+        docs = written(stage(spark, docs, sf_dir), name, keep=True)
+    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0], keep=True)

@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Sequence
 from itertools import chain
 
+from kindred.llm.common import hold
+
 #: Unicode White_Space, which is what the tokenisers' ``\s`` means.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _GENERAL = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -19,8 +21,8 @@ _MARKS = ".,;:!?|%$&*#()\"-"
 
 #: Texts that are looked up together.
 SLICE = 200
-#: Pieces whose ids a worker keeps: up to some 350 MB.
-KEPT = 1_500_000
+#: Pieces whose ids a worker keeps: up to some 250 MB.
+KEPT = 1_000_000
 
 
 class ChunkCache:
@@ -93,6 +95,7 @@ _CACHES: dict[str, ChunkCache] = {}
 
 def library_ids(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text under a ``tokenizers`` file as little-endian unsigned 32-bit integers."""
+    hold("tokens", _CACHES.clear)
     if path not in _CACHES:
         import os
 

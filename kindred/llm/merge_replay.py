@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.chunks import ChunkCache
-from kindred.llm.common import bounded_batches, documents, text_of
+from kindred.llm.common import bounded_batches, documents, hold, text_of
 
 NONE = 1 << 30
 SHIFT = 20
@@ -142,6 +142,7 @@ _CACHES: dict[str, tuple[Vocabulary, ChunkCache]] = {}
 
 
 def _cached(path: str, pattern: str) -> tuple[Vocabulary, ChunkCache]:
+    hold("merges", _CACHES.clear)
     if path not in _CACHES:
         vocabulary = Vocabulary.load(path, pattern)
 

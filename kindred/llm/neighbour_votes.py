@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, free_name, text_of
+from kindred.llm.common import bounded_batches, documents, free_name, hold, text_of
 
 SAMPLE = 2_000
 TERMS = 2_048
@@ -42,6 +42,10 @@ _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48
 _TERM: dict[bytes, int] = {}
 
 
+def _own_caches() -> None:
+    hold("terms", _TERM.clear)
+
+
 def _term(name: bytes) -> int:
     if name not in _TERM:
         if len(_TERM) > 300_000:
@@ -164,6 +168,7 @@ def with_score(docs: DataFrame, model: VoteModel, text_col: str = "text", name:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_caches()
         for batch in batches:
             found = shared.value.scores([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])

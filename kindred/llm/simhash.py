@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_batches, documents, text_of, whole_row, written
+from kindred.llm.common import bounded_batches, documents, hold, text_of, whole_row, written
 from kindred.llm.components import connected_components
 
 THRESHOLD = 4
@@ -71,6 +71,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finge
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("prints", int)
         for batch in batches:
             found = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
