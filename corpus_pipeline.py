@@ -14,11 +14,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.common import documents, made, release, written
+from kindred.llm.near_copies import drop_near_copies
 from kindred.llm.neighbour_votes import fit_votes, keep_quality
 from kindred.llm.packing import pack_sequences
 from kindred.llm.quality_rules import keep_good
 from kindred.llm.recompression import drop_repeats
-from kindred.llm.simhash import drop_near_duplicates
 
 
 _LEFT: list[str] = []
@@ -54,8 +54,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word shingles alike to 0.8) stays, that of the smallest doc_id."""
+    return drop_near_copies(docs)
 
 
 @_stage
