@@ -90,13 +90,17 @@ class ChunkCache:
         return out
 
 
-_CACHES: dict[str, ChunkCache] = {}
+_CACHES: dict[tuple[str, bool], tuple[ChunkCache, re.Pattern | None]] = {}
 
 
-def library_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text under a ``tokenizers`` file as little-endian unsigned 32-bit integers."""
+def library_ids(path: str, texts: list[str], added: bool = False) -> list[bytes]:
+    """Ids of each text under a ``tokenizers`` file as little-endian unsigned 32-bit integers.
+
+    With ``added``, a text that holds an added token's string (as ``<|endoftext|>``) is encoded whole and gets that
+    token's id, as the library does unless told otherwise; without, such strings are text like any other.
+    """
     hold("tokens", _CACHES.clear)
-    if path not in _CACHES:
+    if (path, added) not in _CACHES:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -104,7 +108,8 @@ def library_ids(path: str, texts: list[str]) -> list[bytes]:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+        model.encode_special_tokens = not added
+        contents = [t.content for t in model.get_added_tokens_decoder().values()] if added else []
 
         def encode(pieces: list[str]) -> list[bytes]:
             found: list[bytes] = []
@@ -113,5 +118,13 @@ def library_ids(path: str, texts: list[str]) -> list[bytes]:
                 found += [np.array(x.ids, "<u4").tobytes() for x in part]
             return found
 
-        _CACHES[path] = ChunkCache(encode, b"".join, KEPT)
-    return _CACHES[path].values(texts, b"".join)
+        _CACHES[path, added] = ChunkCache(encode, b"".join, KEPT), re.compile("|".join(map(re.escape, contents))) if contents else None
+    cache, tokens = _CACHES[path, added]
+    whole = [i for i, t in enumerate(texts) if tokens.search(t)] if tokens else []
+    if not whole:
+        return cache.values(texts, b"".join)
+    apart = set(whole)
+    out = dict(zip(whole, cache.encode_many([texts[i] for i in whole])))
+    rest = [i for i in range(len(texts)) if i not in apart]
+    out.update(zip(rest, cache.values([texts[i] for i in rest], b"".join)))
+    return [out[i] for i in range(len(texts))]

@@ -113,7 +113,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             return got
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), library_ids(tokenizer, batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), library_ids(tokenizer, batch.column(1).to_pylist(), added=True)):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):

@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            found = library_ids(tokenizer, batch.column(1).to_pylist())
+            found = library_ids(tokenizer, batch.column(1).to_pylist(), added=True)
             for key, got in zip(batch.column(0).to_pylist(), found):
                 ids.append(got + end)
                 keys.append(NULL_ID if key is None else key)
