@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import WORD, documents, text_of
 
 SHINGLE = 5
-#: One of so many hashes is kept.
-SCALE = 8
+#: One of so many hashes is kept: by default, and in the report, which has short texts to compare with long ones
+#: and so keeps all (of a text's few shingles no smaller part is sure to be among what a long text keeps).
+SCALE, REPORT_SCALE = 8, 1
 #: Rows of a range of ids, and how many cells between quantiles there are at most; each cell has at most as
 #: many parts, so ranges are about a million at most.
 RANGE_ROWS, MAX_CELLS = 2_000, 1_024
@@ -38,7 +39,7 @@ def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE,
     df = df.withColumn("_words", F.expr(f"transform(regexp_extract_all(`{text_col}`, '{pattern}', 0), w -> xxhash64(w))"))
     every = f"CASE WHEN {n} >= {shingle} THEN transform(sequence(0, {n} - {shingle}), i -> xxhash64({get})) WHEN {n} > 0 THEN array(aggregate(_words, 42L, (a, w) -> xxhash64(a, w))) ELSE CAST(array() AS ARRAY<BIGINT>) END"
     df = df.withColumn("_every", F.expr(every))
-    df = df.withColumn("_low", F.expr(f"filter(_every, h -> h < {limit}L)"))
+    df = df.withColumn("_low", F.expr(f"filter(_every, h -> h < {limit}L)" if scale > 1 else "_every"))
     kept = "CASE WHEN size(_low) > 0 THEN sort_array(array_distinct(_low)) WHEN size(_every) > 0 THEN array(array_min(_every)) ELSE _every END"
     return df.withColumn(name, F.expr(kept)).select(*own, name)
 
@@ -122,11 +123,13 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows: int = R
 
 def sketch_report(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likenesses."""
-    base = with_sketch(docs.select(F.col(doc_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "kept")
-    df = with_next(base, "doc_id", {"text": "next_text", "kept": "next_kept"})
+    base = docs.select(F.col(doc_col).alias("doc_id"), text_of(text_col).alias("text"))
+    # sketches are larger than their texts, so only texts are exchanged
+    df = with_next(base, "doc_id", {"text": "next_text"})
+    df = with_sketch(with_sketch(df, "text", "kept", scale=REPORT_SCALE), "next_text", "next_kept", scale=REPORT_SCALE)
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.expr("CAST(n_chars DIV 3 AS INT)"))
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - _cut), substring(next_text, 1, _cut))")).drop("text", "next_text")
-    df = with_sketch(df, "edited", "edited_kept")
+    df = with_sketch(df, "edited", "edited_kept", scale=REPORT_SCALE)
     return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hexadecimal("kept").alias("fingerprint"), hexadecimal("edited_kept").alias("edited_fingerprint"), likeness("kept", "edited_kept").alias("near_edited"), likeness("kept", "next_kept").alias("near_next"))
 
 
