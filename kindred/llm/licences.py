@@ -148,11 +148,15 @@ def _confirm(templates: TemplateSet, i: int, flat: list, part: list, raw: bytes)
     """Places in the block and differences, if they are within the tolerance."""
     own = templates.words[i]
     words = [w for w, _ in flat]
-    # look around each place where the template's rarest words stand, so that far words do not stretch it
+    # look wherever any word of the template stands, shifted by its place in it, so that far words do not stretch it
     size = len(own) + max(1, int(TOLERANCE * len(own)))
-    best = None
-    for at in [k for k, w in enumerate(words) if w == own[0] or len(own) > 1 and w == own[1]]:
-        lo = max(0, at - 1)
+    at_least, best = len(own) - TOLERANCE * len(own), None
+    spots: dict[str, list[int]] = {}
+    for p, w in enumerate(own):
+        spots.setdefault(w, []).append(p)
+    for lo in sorted({max(0, k - p - 1) for k, w in enumerate(words) for p in spots.get(w, ())}):
+        if sum(w in spots for w in words[lo : lo + size]) < at_least:  # too many words are missing however they align
+            continue
         got = templates.differences(i, words[lo : lo + size])
         if got and (best is None or got[0] + got[1] < best[2] + best[3]):
             best = (flat[lo + got[2]][1], flat[lo + got[3] - 1][1], got[0], got[1])
