@@ -7,7 +7,8 @@ the end of a partition is joined by cutting pieces, and the last window is cut t
 which a sequence needs no padding, so a partition pads nothing.
 
 Defined cases: a null text is the empty text (one piece with the end id only); repeated rows and
-null ids are packed as they come; an empty table gives no rows; extra columns are ignored.
+null ids are packed as they come; an empty table gives no rows; extra columns are ignored; an added token's
+string in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), library_ids(tokenizer, batch.column(1).to_pylist(), added=True)):
-                ids += end
+                ids = ids.tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ((doc, total), start, ids[4 * start : 4 * (start + capacity)])

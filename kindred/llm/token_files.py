@@ -11,7 +11,7 @@ document order.
 
 Defined cases: a null text is the empty text (only the end id); null ids sort first; rows that
 repeat a doc_id are all written, ordered by text hash; an empty table gives an empty token set;
-extra columns are ignored.
+extra columns are ignored; an added token's string in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kindred.llm.chunks import library_ids
 from kindred.llm.common import bounded_batches, documents, scratch, text_of
 
-MAGIC = b"DACTOK01"
+MAGIC = b"DACTOK02"
 LEVEL_BITS = 8
 BLOCK = 512
 #: Ids that a writer gathers before it closes a file; a longer document gets a file of its own.
@@ -39,8 +39,8 @@ def _aligned(x: bytes) -> bytes:
     return x + b"\0" * (-len(x) % 8)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
-    """The bytes of one file. ``doc_starts`` has one entry more than ``doc_ids``."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_starts: np.ndarray, n_null: int = 0) -> bytes:
+    """The bytes of one file. ``doc_starts`` has one entry more than ``doc_ids``, of which the first ``n_null`` are null."""
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest >= (1 << LEVEL_BITS)
@@ -52,7 +52,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_starts: np.ndarray) -> bytes:
         rest = rest[more] >> LEVEL_BITS
         if not len(rest):
             break
-    head = MAGIC + struct.pack("<QQQ", len(ids), len(doc_ids), len(levels))
+    head = MAGIC + struct.pack("<QQQQ", len(ids), len(doc_ids), n_null, len(levels))
     head += b"".join(struct.pack("<QQQ", *map(len, x)) for x in levels)
     body = b"".join(_aligned(part) for x in levels for part in x)
     return head + _aligned(doc_ids.astype("<i8").tobytes()) + _aligned(doc_starts.astype("<u8").tobytes()) + body
@@ -65,9 +65,9 @@ class TokenFile:
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token file")
-        self.n_tokens, self.n_docs, n_levels = struct.unpack_from("<QQQ", view, 8)
-        sizes = [struct.unpack_from("<QQQ", view, 32 + 24 * i) for i in range(n_levels)]
-        at = 32 + 24 * n_levels
+        self.n_tokens, self.n_docs, self.n_null, n_levels = struct.unpack_from("<QQQQ", view, 8)
+        sizes = [struct.unpack_from("<QQQ", view, 40 + 24 * i) for i in range(n_levels)]
+        at = 40 + 24 * n_levels
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -146,7 +146,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     One range exchange orders the documents; each task then encodes and writes its own range.
     Returns the manifest: a row for each file with its path, counts and ``start``, the ids in all
-    files before it. The running sum is over one row a file.
+    files before it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -159,10 +159,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         def close() -> pa.RecordBatch:
             nonlocal files, held
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            lengths = np.array([len(x) + 1 for x in ids], np.int64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             at = f"{path}/{part:06d}-{files:06d}.dac"
-            _put(at, pack(np.frombuffer(b"".join(ids), "<u4"), np.array(keys, np.int64), starts))
+            whole = np.full(starts[-1], end_id, "<u4")
+            for x, start in zip(ids, starts.tolist()):
+                whole[start : start + len(x)] = x
+            n_null = keys.count(None)  # these come first
+            _put(at, pack(whole, np.array([0 if k is None else k for k in keys], np.int64), starts, n_null))
             row = {"part": [part], "file": [files], "path": [at], "n_docs": [len(keys)], "n_tokens": [int(starts[-1])]}
             files += 1
             held = 0
@@ -170,13 +174,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             keys.clear()
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             found = library_ids(tokenizer, batch.column(1).to_pylist(), added=True)
             for key, got in zip(batch.column(0).to_pylist(), found):
-                ids.append(got + end)
-                keys.append(NULL_ID if key is None else key)
-                held += len(got) // 4 + 1
+                ids.append(got)
+                keys.append(key)
+                held += len(got) + 1
                 if held >= file_tokens:
                     yield close()
         if keys:
@@ -188,14 +191,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     return read_manifest(spark, path)
 
 
-#: Stands for a null doc_id inside a file.
-NULL_ID = -(1 << 63)
-
-
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest with running sums: within each part, and over one row for each part."""
     files = spark.read.schema("part long, file long, path string, n_docs long, n_tokens long").parquet(f"{path}/manifest")
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("_base"))
+    inner = files.withColumn("start", before(Window.partitionBy("part").orderBy("file")))
+    return inner.join(parts, "part").withColumn("start", F.col("start") + F.col("_base")).drop("_base")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ids = memoryview(got.tokens(0, got.n_tokens)).cast("B")
                 bounds = got.doc_starts.astype(np.int64)
                 crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                keys = pa.array(got.doc_ids.copy(), mask=got.doc_ids == NULL_ID)
+                keys = pa.array(got.doc_ids.copy(), mask=np.arange(got.n_docs) < got.n_null)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 P = pytest.importorskip("public_tokenizers")
 from kindred.llm import merge_replay, packing, token_files  # noqa: E402
-from kindred.llm.chunks import ChunkCache, library_ids  # noqa: E402
+from kindred.llm.chunks import PieceTable, library_ids  # noqa: E402
 
 HF, MULTI = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = st.lists(st.sampled_from(list("abtheZ019.,!'s \n\t\r") + ["\xa0", "\x1c", "é", "日", "<|endoftext|>", "  ", "'ll"]), max_size=60).map("".join)
@@ -69,10 +69,13 @@ def test_replay_waits_for_a_lower_rank():
 
 
 def test_cache_forgets_without_harm():
-    cache = ChunkCache(lambda pieces: [p.encode() for p in pieces], b"".join, limit=3)
+    def letters(pieces):
+        return np.array([ord(c) for p in pieces for c in p], "<u4"), np.array([len(p) for p in pieces])
+
+    table = PieceTable(letters, limit=3)
     texts = ["a b c. d, e f\ng h", "  x  y", "", " lead", "trail \n"]
     for _ in range(3):
-        assert cache.values(texts, b"".join) == [t.encode() for t in texts]
+        assert ["".join(map(chr, x)) for x in table.values(texts)] == texts
 
 
 @settings(max_examples=60, deadline=None)
