@@ -18,7 +18,8 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def tall_skinny_r(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
-    """The R factor (d x d) of the rows' matrix. Each task keeps one d x d factor; factors are joined in a tree."""
+    """The R factor (d x d) of the rows' matrix. Each task keeps one d x d factor; these are dealt to fewer tasks, whose
+    factors are joined on the driver."""
     d = len(columns)
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,7 +29,8 @@ def tall_skinny_r(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.list_(pa.float64()))], ["v"])
 
     rows = df.select(F.array(*[c.cast("double") for c in columns]).alias("v")).mapInArrow(factor, "v array<double>")
-    rows = rows.coalesce(max(1, math.isqrt(rows.rdd.getNumPartitions()))).mapInArrow(factor, "v array<double>")
+    tasks = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(max(1, tasks)).mapInArrow(factor, "v array<double>")
     parts = [r[0] for r in rows.collect()]  # d rows for each of the last tasks
     full = np.linalg.qr(np.array(parts).reshape(-1, d), mode="r")
     return np.vstack([full, np.zeros((max(0, d - len(full)), d))])

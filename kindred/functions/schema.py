@@ -76,25 +76,32 @@ def minimum_type(kinds: Sequence[T.DataType]) -> T.DataType:
 
 def target_kinds(df: DataFrame, targets: Sequence[str], categorical: Sequence[str] = ()) -> dict[str, str]:
     """"regression" for numbers, "classification" for text, booleans and those named categorical."""
-    types = get_feature_names_and_types(df.select(*targets))
+    types = get_feature_names_and_types(df.select(*[F.col(f"`{t}`") for t in targets]))
     return {t: "classification" if t in categorical or not is_number_like_type(types[t]) else "regression" for t in targets}
 
 
 def validate_targets(df: DataFrame, targets: Sequence[str]) -> None:
     """One aggregate over all targets: no null or NaN."""
-    types = get_feature_names_and_types(df.select(*targets))
-    counts = df.agg(*[F.sum(is_nan_like(t, types[t]).cast("int")).alias(f"t{i}") for i, t in enumerate(targets)]).first()
+    types = get_feature_names_and_types(df.select(*[F.col(f"`{t}`") for t in targets]))
+    counts = df.agg(*[F.sum(is_nan_like(F.col(f"`{t}`"), types[t]).cast("int")).alias(f"t{i}") for i, t in enumerate(targets)]).first()
     bad = [t for i, t in enumerate(targets) if counts[i]]
     if bad:
         raise ValueError(f"Target {bad[0]} has NaN-like elements")
 
 
+def promote_targets(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """``df`` with the targets validated and cast to the smallest type that holds all of them."""
+    validate_targets(df, targets)
+    types = get_feature_types(df)
+    kind = minimum_type([types[t] for t in targets])
+    return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) if c in targets else F.col(f"`{c}`") for c in df.columns])
+
+
 def validate_features(df: DataFrame, columns: Sequence[str], min_rows: int = 1, min_features: int = 1) -> int:
     """One aggregate: enough rows and features, no null, NaN or infinity. Returns the number of rows."""
     if len(columns) < min_features:
         raise ValueError(f"Found {len(columns)} feature(s) while a minimum of {min_features} is required")
-    wrong = [F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).cast("int")) for c in columns]
-    row = df.agg(F.count("*"), *wrong).first()
+    row = feature_counts(df, columns).first()
     if row[0] < min_rows:
         raise ValueError(f"Found {row[0]} row(s) while a minimum of {min_rows} is required")
     bad = [c for c, n in zip(columns, row[1:]) if n]
@@ -103,6 +110,12 @@ def validate_features(df: DataFrame, columns: Sequence[str], min_rows: int = 1,
     return row[0]
 
 
+def feature_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: ``n`` rows, and of each column (``bad_0``, ``bad_1``...) the values that are null, NaN or infinite."""
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
+    return df.agg(F.count("*").alias("n"), *[F.count(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 1)).alias(f"bad_{i}") for i, v in enumerate(values)])
+
+
 def vector_of(columns: Sequence[str]) -> Column:
     """Columns packed as an array of doubles; they are doubles before any arithmetic."""
     return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])

@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset) and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in that of ``spark.checkpoint.dir``. Only a session on one machine may have none set: it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/kindred-{uuid.uuid4().hex[:12]}/{name}"
+    return f"{base.rstrip('/')}/kindred-{uuid.uuid4().hex[:12]}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder and read back."""
+    path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

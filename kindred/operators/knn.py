@@ -4,7 +4,8 @@
 The k rows are chosen by (distance, position) and then ordered by (distance scaled and rounded, distance of
 positions, position). Three physical plans give the same rows:
 
-* ``block``: references broadcast (their size is checked), each query block meets them in one task; no shuffle;
+* ``block``: references broadcast (their size is checked), each query block meets them in one task; no shuffle; few
+  features are searched along the widest of them, in windows that hold all rows near enough;
 * ``grid``: references too large to broadcast are dealt to blocks, partial nearest rows are merged by query;
 * ``columns``: unrolled column arithmetic and a window, all in SQL operators, for few references.
 """
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions.distance import Metric, distance_block, distance_column, euclidean_candidates
 from kindred.functions.linalg import matrix_of
@@ -29,6 +31,10 @@ BROADCAST_BYTES = 128 << 20
 #: Distances held at once by a task.
 BLOCK_CELLS = 2_000_000
 GRID_ROWS = 20_000
+#: Ids of queries that are sorted on the driver for the tie rule, in bytes; more are numbered by a range exchange.
+ID_BYTES = 32 << 20
+#: Features up to which, and reference rows from which, windows along one feature pay; queries that share a window.
+WINDOW_FEATURES, WINDOW_ROWS, WINDOW_QUERIES = 4, 1_000, 48
 
 
 def with_position(df: DataFrame, id_col: str, name: str = "position") -> DataFrame:
@@ -61,34 +67,48 @@ class NeighbourIndex:
     def __init__(self, references: DataFrame, id_col: str, features: str, targets: Sequence[str] = (), metric: Metric = "minkowski", p: float = 2, w: Sequence[float] | None = None, broadcast_bytes: int = BROADCAST_BYTES):
         self.id_col, self.features, self.targets = id_col, features, list(targets)
         self.metric, self.p, self.w = metric, p, None if w is None else np.asarray(w, float)
+        self.repeated = False
         self.source = references
-        self.table = references.select(id_col, features, *targets)
+        self.table = references.select(F.col(f"`{id_col}`"), F.col(f"`{features}`"), *[F.col(f"`{t}`") for t in targets])
         size = references.agg(F.count("*"), F.max(F.size(features)), F.min(F.size(features))).first()
         self.n, self.width = size[0], size[1] or 0
         if size[1] != size[2]:
             raise ValueError("reference rows have different numbers of features")
         self.local = self.n * (self.width + len(self.targets) + 1) * 8 <= broadcast_bytes
         if self.local:
-            rows = self.table.select(id_col, features, F.array(*[F.col(t).cast("double") for t in targets]) if targets else F.array().cast("array<double>")).toArrow()
-            rows = rows.sort_by(id_col).combine_chunks()
-            self.ids = np.array(rows[0].to_pylist())
-            x = matrix_of(rows[1].combine_chunks()) if self.n else np.zeros((0, 0))
-            self.x = x.astype(float)
-            self.y = np.array(rows[2].to_pylist(), float).reshape(self.n, -1)
+            rows = self.table.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{features}`").alias("x"), F.array(*[F.col(f"`{t}`").cast("double") if isinstance(self.table.schema[t].dataType, T.NumericType) else F.lit(None) for t in targets]).cast("array<double>").alias("y")).toArrow()
+            rows = rows.sort_by("id").combine_chunks()
+            self.ids, self.id_type = np.array(rows["id"].to_pylist()), rows["id"].type
+            self.x = (matrix_of(rows["x"].combine_chunks()) if self.n else np.zeros((0, 0))).astype(float)
+            self.y = matrix_of(rows["y"].combine_chunks()).astype(float).reshape(self.n, -1) if targets else np.zeros((self.n, 0))
+            if self.n and (self.ids[1:] == self.ids[:-1]).any():  # rows of one id are told apart by their features
+                order = np.lexsort([*self.y.T[::-1], *self.x.T[::-1], np.unique(self.ids, return_inverse=True)[1]])
+                self.ids, self.x, self.y = self.ids[order], self.x[order], self.y[order]
+                self.repeated = True
         else:
             self.numbered = with_position(self.table, id_col, "_position")
+            self.repeated = not self.numbered.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").isEmpty()
 
     def table_with(self, columns: Sequence[str]) -> DataFrame:
         """Columns of the references by ``neighbor_id``."""
-        return self.source.select(F.col(self.id_col).alias("neighbor_id"), *columns)
+        return self.source.select(F.col(f"`{self.id_col}`").alias("neighbor_id"), *[F.col(f"`{c}`") for c in columns])
 
     def _checked(self, k: int, self_join: bool) -> None:
         if not 1 <= k <= self.n - self_join:
             raise ValueError(f"Expected 1 <= n_neighbors <= {self.n - self_join}, but n_neighbors = {k}")
 
     def search(self, x: np.ndarray, k: int, own: np.ndarray | None, query: np.ndarray | None, deterministic: bool, decimals: int = DECIMALS) -> tuple[np.ndarray, np.ndarray]:
-        """(distance, position) arrays of shape (rows, k). own: a position that each row may not have."""
+        """(distance, position) arrays of shape (rows, k). own: a position that each row may not have. NaN and infinity are an error."""
+        if not np.isfinite(x).all():
+            raise ValueError("Query features contain NaN or infinity")
         dist, pos = [], []
+        if self.width <= WINDOW_FEATURES and self.n >= WINDOW_ROWS and self.w is None and _is_minkowski(self.metric, self.p):
+            d, q = self._windows(x, k, own)
+            if deterministic and query is not None:
+                for i in range(0, len(d), 100_000):
+                    o = order_neighbours(d[i : i + 100_000], q[i : i + 100_000], query[i : i + 100_000], decimals)
+                    d[i : i + 100_000], q[i : i + 100_000] = np.take_along_axis(d[i : i + 100_000], o, 1), np.take_along_axis(q[i : i + 100_000], o, 1)
+            return d, q
         step = max(1, BLOCK_CELLS // max(1, self.n))
         for i in range(0, len(x), step):
             d, q = nearest(x[i : i + step], self.x, k, self.metric, self.p, self.w, None if own is None else own[i : i + step])
@@ -100,6 +120,44 @@ class NeighbourIndex:
         return (np.concatenate(dist), np.concatenate(pos)) if dist else (np.zeros((0, k)), np.zeros((0, k), int))
 
 
+    def _windows(self, x: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`search` along the feature of most spread: no distance is less than the difference in one feature, so the
+        rows within the k-th distance found so far hold all that are nearer, and all that tie."""
+        if not hasattr(self, "_along"):
+            axis = int(np.argmax(self.x.std(axis=0)))
+            order = np.argsort(self.x[:, axis], kind="stable")
+            self._along = axis, order, self.x[order], self.x[order, axis]
+        axis, order, rows, line = self._along
+        dist, pos = np.empty((len(x), k)), np.empty((len(x), k), np.int64)
+        asked = np.argsort(x[:, axis], kind="stable")
+        for i in range(0, len(asked), WINDOW_QUERIES):
+            part = asked[i : i + WINDOW_QUERIES]
+            a, mine = x[part], None if own is None else own[part]
+            low, high = a[0, axis], a[-1, axis]
+            lo, hi = max(0, int(np.searchsorted(line, low)) - 2 * k - 2), min(self.n, int(np.searchsorted(line, high, "right")) + 2 * k + 2)
+            while True:
+                d = distance_block(a, rows[lo:hi], self.metric, self.p)
+                if mine is not None:
+                    d[order[None, lo:hi] == mine[:, None]] = np.inf
+                reach = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) if hi - lo >= k else np.full(len(a), np.inf)
+                # slack for the rounding of distances
+                need = int(np.searchsorted(line, (a[:, axis] - reach).min() * (1 - 1e-12) if np.isfinite(reach).all() else -np.inf)), int(np.searchsorted(line, (a[:, axis] + reach).max(), "right"))
+                if need[0] >= lo and need[1] <= hi:
+                    break
+                lo, hi = min(lo, need[0]), max(hi, need[1])
+            at, cols = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1, None])
+            value, where = d[at, cols], order[lo + cols]
+            by = np.lexsort((where, value, at))
+            at, value, where = at[by], value[by], where[by]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            dist[part], pos[part] = value[keep].reshape(-1, k), where[keep].reshape(-1, k)
+        return dist, pos
+
+
+def _is_minkowski(metric: Metric, p: float) -> bool:
+    return metric in ("euclidean", "l2", "manhattan", "l1", "cityblock", "chebyshev", "infinity") or metric == "minkowski" and p >= 1
+
+
 def nearest(a: np.ndarray, b: np.ndarray, k: int, metric: Metric, p: float, w: np.ndarray | None, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """The k rows of b nearest to each row of a, by (distance, position)."""
     wide = a.shape[1] > 12 and (metric in ("euclidean", "l2") or metric == "minkowski" and p == 2) and len(b) > 4 * k
@@ -134,30 +192,57 @@ def kneighbors(index: NeighbourIndex, queries: DataFrame | None = None, k: int =
     id_col, features = id_col or index.id_col, features or index.features
     if strategy == "auto":
         strategy = "block" if index.local else "grid"
-    if self_join:
-        source = index.table.select(id_col, features) if index.local else index.numbered.select(id_col, features, "_position")
+    if strategy == "block":
+        return _block(index, queries, k, id_col, features, deterministic, decimals, position_col)
+    if self_join and not index.local:
+        source = index.numbered.select(id_col, features, "_position")
+    elif self_join:
+        source = index.table.select(id_col, features)
     else:
         source = queries.select(id_col, features, *([F.col(position_col).alias("_position")] if position_col else []))
         if deterministic and not position_col:
             source = with_position(source, id_col, "_position")
     if strategy == "grid":
         return _grid(index, source, k, self_join, id_col, features, deterministic, decimals)
-    if strategy == "columns":
-        return _columns(index, source, k, self_join, id_col, features, deterministic, decimals)
-    shared = source.sparkSession.sparkContext.broadcast(index_state(index))
+    if index.repeated:
+        raise ValueError("This plan needs reference ids that are not repeated")
+    return _columns(index, source, k, self_join, id_col, features, deterministic, decimals)
+
+
+def query_rows(index: NeighbourIndex, queries: DataFrame | None, id_col: str, features: str, ordered: bool, position_col: str | None = None) -> tuple[DataFrame, np.ndarray | None]:
+    """What :func:`found_for` takes for a local index: positions where the references ask for themselves; else ids and
+    features, with positions where the order needs them: from a column, from the sorted ids that come along, or numbered."""
+    if queries is None:
+        spark = index.source.sparkSession
+        return spark.range(0, index.n, 1, max(1, min(index.n // 256, 2 * spark.sparkContext.defaultParallelism))), None
+    name, vector = F.col(f"`{id_col}`").alias("_id"), F.col(f"`{features}`").alias("_x")  # names that Arrow functions take
+    if position_col:
+        return queries.select(name, vector, F.col(f"`{position_col}`").alias("_position")), None
+    source = queries.select(name, vector)
+    if not ordered:
+        return source, None
+    size = source.agg(F.sum(F.octet_length(F.col("_id").cast("string")) + 8), F.count(F.when(F.col("_id").isNull(), 1))).first()
+    if size[1] or (size[0] or 0) > ID_BYTES:
+        return with_position(source, "_id", "_position"), None
+    return source, np.sort(np.array(source.select("_id").toArrow()["_id"].to_pylist()))
+
+
+def _block(index: NeighbourIndex, queries: DataFrame | None, k: int, id_col: str, features: str, deterministic: bool, decimals: int, position_col: str | None) -> DataFrame:
+    source, ids = query_rows(index, queries, id_col, features, deterministic, position_col)
+    shared, metric, self_join = source.sparkSession.sparkContext.broadcast((index_state(index), ids)), index.metric, queries is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, sorted_ids = shared.value
+        own.metric = metric
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, pos = found_for(own, batch, k, self_join, deterministic, decimals)
+            d, pos, asked = found_for(own, batch, k, self_join, deterministic, decimals, sorted_ids)
             n = len(d)
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), k)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(pos.ravel().astype(np.int64)), pa.array(own.ids[pos.ravel()]), pa.array(d.ravel())], _NAMES)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(pos.ravel().astype(np.int64)), pa.array(own.ids[pos.ravel()], own.id_type), pa.array(d.ravel())], _NAMES)
 
-    kind = source.schema[id_col].dataType.simpleString()
     own_kind = index.table.schema[index.id_col].dataType.simpleString()
+    kind = own_kind if self_join else source.schema["_id"].dataType.simpleString()
     return source.mapInArrow(run, f"query_id {kind}, rank int, neighbor_position long, neighbor_id {own_kind}, distance double")
 
 
@@ -165,32 +250,39 @@ _NAMES = ["query_id", "rank", "neighbor_position", "neighbor_id", "distance"]
 
 
 def index_state(index: NeighbourIndex) -> NeighbourIndex:
-    """What a task needs of an index."""
+    """What a task needs of an index, but for the metric, which may be a function and goes with the task."""
     import copy
 
     out = copy.copy(index)
-    for name in ("source", "table", "numbered"):
+    for name in ("source", "table", "numbered", "metric"):
         out.__dict__.pop(name, None)
     return out
 
 
-def found_for(own: NeighbourIndex, batch: pa.RecordBatch, k: int, self_join: bool, deterministic: bool, decimals: int = DECIMALS) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours of a batch of (id, features[, position])."""
-    x = matrix_of(batch.column(1)).astype(float)
+def found_for(own: NeighbourIndex, batch: pa.RecordBatch, k: int, self_join: bool, deterministic: bool, decimals: int = DECIMALS, sorted_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distances and positions of the neighbours of a batch from :func:`query_rows`, and the ids that ask."""
     if self_join:
-        query = np.searchsorted(own.ids, np.array(batch.column(0).to_pylist()))
-    else:
-        query = batch.column(2).to_numpy() if batch.num_columns > 2 else None
-    return own.search(x, k, query if self_join else None, query, deterministic, decimals)
+        query = batch.column(0).to_numpy()
+        d, pos = own.search(own.x[query], k, query, query, deterministic, decimals)
+        return d, pos, pa.array(own.ids[query], own.id_type)
+    x = matrix_of(batch.column(1)).astype(float)
+    if len(x) and x.shape[1] != own.width:
+        raise ValueError(f"Queries have {x.shape[1]} features where the references have {own.width}")
+    query = batch.column(2).to_numpy() if batch.num_columns > 2 else None
+    if sorted_ids is not None:
+        query = np.searchsorted(sorted_ids, np.array(batch.column(0).to_pylist()))
+    d, pos = own.search(x, k, None, query, deterministic, decimals)
+    return d, pos, batch.column(0)
 
 
 def _ranked(pairs: DataFrame, k: int, deterministic: bool, decimals: int) -> DataFrame:
     """From (query_id, query_position, neighbor_position, neighbor_id, distance) the k rows in order."""
-    first = Window.partitionBy("query_id").orderBy("distance", "neighbor_position")
+    asks = ("query_id", "query_position")  # ids may repeat
+    first = Window.partitionBy(*asks).orderBy("distance", "neighbor_position")
     chosen = pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     if deterministic:
-        scale = F.greatest(F.max("distance").over(Window.partitionBy("query_id")), F.lit(1.0))
-        tie = Window.partitionBy("query_id").orderBy("_r", F.abs(F.col("query_position") - F.col("neighbor_position")), "neighbor_position")
+        scale = F.greatest(F.max("distance").over(Window.partitionBy(*asks)), F.lit(1.0))
+        tie = Window.partitionBy(*asks).orderBy("_r", F.abs(F.col("query_position") - F.col("neighbor_position")), "neighbor_position")
         chosen = chosen.withColumn("_r", F.rint(F.col("distance") / scale * 10.0**decimals)).withColumn("rank", F.row_number().over(tie))
     return chosen.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("neighbor_position").cast("long").alias("neighbor_position"), "neighbor_id", "distance")
 
@@ -221,9 +313,13 @@ def _grid(index: NeighbourIndex, source: DataFrame, k: int, self_join: bool, id_
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         a, b = a.combine_chunks(), b.combine_chunks().sort_by("neighbor_position")
+        names = ["query_id", "query_position", "neighbor_position", "neighbor_id", "distance"]
         if not a.num_rows or not b.num_rows:
-            return _PAIRS.empty_table()
+            kinds = [a.schema.field("query_id").type, pa.int64(), pa.int64(), b.schema.field("neighbor_id").type, pa.float64()]
+            return pa.schema(list(zip(names, kinds))).empty_table()
         x, y = (matrix_of(t[c].combine_chunks()).astype(float) for t, c in ((a, "q"), (b, "r")))
+        if not np.isfinite(x).all():
+            raise ValueError("Query features contain NaN or infinity")
         pos, query = b["neighbor_position"].to_numpy(), a["query_position"].to_numpy()
         keep = min(k + self_join, b.num_rows)
         out = []
@@ -235,7 +331,7 @@ def _grid(index: NeighbourIndex, source: DataFrame, k: int, self_join: bool, id_
             cols = at.ravel()
             here = np.ones(len(rows), bool) if not self_join else pos[cols] != query[rows]
             rows, cols = rows[here], cols[here]
-            out.append(pa.Table.from_arrays([a["query_id"].take(pa.array(rows)), pa.array(query[rows]), pa.array(pos[cols]), b["neighbor_id"].take(pa.array(cols)), pa.array(d.ravel()[here])], names=[f.name for f in _PAIRS]))
+            out.append(pa.Table.from_arrays([a["query_id"].take(pa.array(rows)), pa.array(query[rows]), pa.array(pos[cols]), b["neighbor_id"].take(pa.array(cols)), pa.array(d.ravel()[here])], names=names))
         return pa.concat_tables(out)
 
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((source, id_col), (index.table, index.id_col))]
@@ -243,9 +339,6 @@ def _grid(index: NeighbourIndex, source: DataFrame, k: int, self_join: bool, id_
     return _ranked(pairs, k, deterministic, decimals)
 
 
-_PAIRS = pa.schema([("query_id", pa.int64()), ("query_position", pa.int64()), ("neighbor_position", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.float64())])
-
-
 def kneighbors_graph(index: NeighbourIndex, queries: DataFrame | None = None, k: int = 5, mode: str = "connectivity", **options) -> DataFrame:
     """The join as an edge table (query_id, neighbor_id, weight): 1 or the distance."""
     if mode not in ("connectivity", "distance"):

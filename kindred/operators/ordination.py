@@ -47,7 +47,9 @@ class CCA:
     center: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        total = sum((_double(s) for s in self.species[1:]), _double(self.species[0]))
+        # a column of its own, so that the sum isn't spelt out in every expression that divides by it
+        self.df = self.df.withColumn("_cca_total", sum((_double(s) for s in self.species[1:]), _double(self.species[0])))
+        total = self.site_weights
         x = [F.sum(_double(c) * total) for c in self.environment]
         row = self.df.agg(F.count("*"), F.min(total), F.sum(total), *[F.sum(_double(s)) for s in self.species], *x).first()
         if not row[0] or row[1] <= 0:
@@ -59,12 +61,13 @@ class CCA:
         self.species_weights = sums[sums > 0]
         self.colsum = self.species_weights / self.grand_total
         self.center = np.array(row[3 + len(sums) :], float) / self.grand_total
+        self.df = self.df.withColumn("_cca_root", F.sqrt(F.col("_cca_total") / self.grand_total))
         self.factor = tall_skinny_r(self.df, [*self.x_scale, *self.y_bar])
 
     # row-wise quantities, as columns
     @property
     def site_weights(self) -> Column:
-        return sum((_double(s) for s in self.species[1:]), _double(self.species[0]))
+        return F.col("_cca_total")
 
     @property
     def rowsum(self) -> Column:
@@ -72,15 +75,15 @@ class CCA:
 
     @property
     def x_scale(self) -> list[Column]:
-        return [(_double(c) - float(m)) * F.sqrt(self.rowsum) for c, m in zip(self.environment, self.center)]
+        return [(_double(c) - float(m)) * F.col("_cca_root") for c, m in zip(self.environment, self.center)]
 
     @property
     def y_bar(self) -> list[Column]:
-        r = self.rowsum
-        return [(_double(s) / self.grand_total - r * float(c)) / F.sqrt(r * float(c)) for s, c in zip(self.species, self.colsum)]
+        r = F.col("_cca_root")
+        return [_double(s) / r / float(self.grand_total * np.sqrt(c)) - r * float(np.sqrt(c)) for s, c in zip(self.species, self.colsum)]
 
     def _scores(self, columns: list[Column], matrix: np.ndarray, prefix: str, id_col: str) -> DataFrame:
-        r = F.sqrt(self.rowsum)
+        r = F.col("_cca_root")
         made = [(sum((c * float(v) for c, v in zip(columns, matrix[:, j])), F.lit(0.0)) / r).alias(f"{prefix}{j}") for j in range(matrix.shape[1])]
         return self.df.select(id_col, *made)
 
@@ -160,7 +163,7 @@ class CCA:
 
     def species_tolerances(self, id_col: str) -> np.ndarray:
         """Abundance-weighted deviations of the site scores from each species' score, by one aggregate."""
-        r, names = F.sqrt(self.rowsum), [f"_lc{j}" for j in range(self.rank)]
+        r, names = F.col("_cca_root"), [f"_lc{j}" for j in range(self.rank)]
         lc = [sum((x * float(v) for x, v in zip(self.x_scale, self.coefficients[:, j])), F.lit(0.0)) / r for j in range(self.rank)]
         df = self.df.select(*[F.col(f"`{s}`") for s in self.species], *[c.alias(n) for c, n in zip(lc, names)])
         row = df.agg(*[F.sum(_double(s) * F.pow(F.col(n) - float(self.species_scores[i, j]), 2)) for i, s in enumerate(self.species) for j, n in enumerate(names)]).first()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.operators.knn import DECIMALS, NeighbourIndex, Weights, found_for, index_state, kneighbors, neighbour_weights, with_position
+from kindred.operators.knn import DECIMALS, NeighbourIndex, Weights, found_for, index_state, kneighbors, neighbour_weights, query_rows
 
 
 def predict(index: NeighbourIndex, queries: DataFrame | None = None, k: int = 5, weights: Weights = "uniform", id_col: str | None = None, features: str | None = None, position_col: str | None = None) -> DataFrame:
@@ -23,32 +23,29 @@ def predict(index: NeighbourIndex, queries: DataFrame | None = None, k: int = 5,
     id_col, features = id_col or index.id_col, features or index.features
     if not index.local or any(not isinstance(index.table.schema[t].dataType, T.NumericType) for t in index.targets):
         return _joined(index, kneighbors(index, queries, k, id_col, features, position_col=position_col), weights, id_col)
-    if self_join:
-        source = index.table.select(id_col, features)
-    else:
-        source = queries.select(id_col, features, *([F.col(position_col).alias("_position")] if position_col else []))
-        if callable(weights) and not position_col:  # the order of neighbours can matter to it
-            source = with_position(source, id_col, "_position")
-    shared = source.sparkSession.sparkContext.broadcast(index_state(index))
+    # the order of neighbours can matter to a callable
+    source, ids = query_rows(index, queries, id_col, features, callable(weights), position_col)
+    shared, metric = source.sparkSession.sparkContext.broadcast((index_state(index), ids)), index.metric
     names = [id_col, *index.targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, sorted_ids = shared.value
+        own.metric = metric
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, pos = found_for(own, batch, k, self_join, True, DECIMALS)
+            d, pos, asked = found_for(own, batch, k, self_join, True, DECIMALS, sorted_ids)
             w = neighbour_weights(d, weights)
             y = (own.y[pos] * w[:, :, None]).sum(axis=1) / w.sum(axis=1)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in y.T]], names)
+            yield pa.RecordBatch.from_arrays([asked, *[pa.array(c) for c in y.T]], names)
 
-    kind = source.schema[id_col].dataType.simpleString()
+    kind = (index.table.schema[index.id_col] if self_join else source.schema["_id"]).dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{t}` double" for t in index.targets))
 
 
 def _joined(index: NeighbourIndex, found: DataFrame, weights: Weights, id_col: str) -> DataFrame:
     """By a join on the neighbour's id. Text and boolean targets take the nearest neighbour's value."""
-    targets = index.table.select(F.col(index.id_col).alias("neighbor_id"), *index.targets)
+    targets = index.table.select(F.col(f"`{index.id_col}`").alias("neighbor_id"), *[F.col(f"`{t}`") for t in index.targets])
     if callable(weights):
         found = _weighted(found, weights)
     elif weights == "distance":
@@ -58,7 +55,7 @@ def _joined(index: NeighbourIndex, found: DataFrame, weights: Weights, id_col: s
         found = found.withColumn("w", F.lit(1.0))
     both = found.join(targets, "neighbor_id")
     numeric = {t: isinstance(index.table.schema[t].dataType, T.NumericType) for t in index.targets}
-    made = [(F.sum(F.col("w") * F.col(t).cast("double")) / F.sum("w") if numeric[t] else F.min_by(t, "rank")).alias(t) for t in index.targets]
+    made = [(F.sum(F.col("w") * F.col(f"`{t}`").cast("double")) / F.sum("w") if numeric[t] else F.min_by(F.col(f"`{t}`"), "rank")).alias(t) for t in index.targets]
     return both.groupBy(F.col("query_id").alias(id_col)).agg(*made)
 
 
@@ -85,17 +82,19 @@ def _weighted(found: DataFrame, weights) -> DataFrame:
 def impute_nearest(index: NeighbourIndex, queries: DataFrame | None, columns: Sequence[str], id_col: str | None = None, features: str | None = None) -> DataFrame:
     """Columns of any type from the single nearest neighbour."""
     found = kneighbors(index, queries, 1, id_col, features)
-    return found.join(index.table_with(columns), "neighbor_id").select(F.col("query_id").alias(id_col or index.id_col), "neighbor_id", *columns)
+    return found.join(index.table_with(columns), "neighbor_id").select(F.col("query_id").alias(id_col or index.id_col), "neighbor_id", *[F.col(f"`{c}`") for c in columns])
 
 
 def r2_scores(truth: DataFrame, predicted: DataFrame, id_col: str, targets: Sequence[str]) -> DataFrame:
     """One row: r2 of each target and their mean ``score``. A constant target scores 1 if predicted exactly, else 0."""
-    both = truth.select(id_col, *[F.col(t).cast("double").alias(f"y_{t}") for t in targets]).join(predicted.select(id_col, *[F.col(t).alias(f"p_{t}") for t in targets]), id_col)
-    means = both.agg(*[F.avg(f"y_{t}").alias(f"m_{t}") for t in targets])
+    marks = {t: i for i, t in enumerate(targets)}
+    left = truth.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{t}`").cast("double").alias(f"y_{i}") for t, i in marks.items()])
+    both = left.join(predicted.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{t}`").alias(f"p_{i}") for t, i in marks.items()]), "_id")
+    means = both.agg(*[F.avg(f"y_{i}").alias(f"m_{i}") for i in marks.values()])
     sums = both.crossJoin(F.broadcast(means)).agg(  # one row of means
-        *[F.sum(F.pow(F.col(f"y_{t}") - F.col(f"p_{t}"), 2)).alias(f"e_{t}") for t in targets],
-        *[F.sum(F.pow(F.col(f"y_{t}") - F.col(f"m_{t}"), 2)).alias(f"s_{t}") for t in targets],
+        *[F.sum(F.pow(F.col(f"y_{i}") - F.col(f"p_{i}"), 2)).alias(f"e_{i}") for i in marks.values()],
+        *[F.sum(F.pow(F.col(f"y_{i}") - F.col(f"m_{i}"), 2)).alias(f"s_{i}") for i in marks.values()],
     )
-    each = {t: F.when(F.col(f"s_{t}") > 0, 1 - F.try_divide(F.col(f"e_{t}"), F.col(f"s_{t}"))).otherwise((F.col(f"e_{t}") == 0).cast("double")) for t in targets}
+    each = {t: F.when(F.col(f"s_{i}") > 0, 1 - F.try_divide(F.col(f"e_{i}"), F.col(f"s_{i}"))).otherwise((F.col(f"e_{i}") == 0).cast("double")) for t, i in marks.items()}
     total = sum(each.values(), F.lit(0.0)) / len(targets)
     return sums.select(*[c.alias(f"r2_{t}") for t, c in each.items()], total.alias("score"))

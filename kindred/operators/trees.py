@@ -408,7 +408,7 @@ class TreeNodeTransformer:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*own, name])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.select(*[F.col(f"`{c}`") for c in own], vector_of(self.columns).alias("_x")).mapInArrow(run, f"{schema}, `{name}` array<bigint>")
+        return df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], vector_of(self.columns).alias("_x")).mapInArrow(run, f"{schema}, `{name}` array<bigint>")
 
     def fit_transform(self, df: DataFrame, *args, **kwargs) -> DataFrame:
         return self.fit(df, *args, **kwargs).transform(df)

@@ -87,6 +87,8 @@ class KNNRegressor:
         self.transformer_ = self._fit_transformer(df, self.y_fit_ or self.targets)
         self.references_ = df
         self.index_ = NeighbourIndex(self._in_space(df), id_col, SPACE, self.targets, **self._metric())
+        if self.index_.repeated:  # scores join predictions by id
+            raise ValueError(f"Values of {id_col} repeat; each reference needs an id of its own")
         self.n_features_in_ = self.index_.width
         self.__dict__.pop("_independent", None)
         return self

@@ -12,9 +12,9 @@ from kindred.functions.storage import materialised
 from kindred.operators.knn import NeighbourIndex, kneighbors, kneighbors_graph
 from kindred.operators.ordination import CCA
 from kindred.operators.predict import impute_nearest, predict, r2_scores
-from kindred.operators.transforms import CCorATransformer, StandardScalerWithDOF
+from kindred.operators.transforms import StandardScalerWithDOF
 from kindred.operators.trees import GBNodeTransformer, RFNodeTransformer, hamming_weights
-from kindred.plans.estimators import EuclideanKNNRegressor, GBNNRegressor, GNNRegressor, MahalanobisKNNRegressor, MSNRegressor, RFNNRegressor
+from kindred.plans.estimators import EuclideanKNNRegressor, GBNNRegressor, MahalanobisKNNRegressor, RFNNRegressor
 
 K = 5
 
@@ -162,44 +162,6 @@ def hill_n2_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(b, round(float(v), 6)) for b, v in zip(brands, cca.species_n2())], "brand string, n2 double")
 
 
-def cca_site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cca, _ = _cca(spark, sf_dir)
-    return cca.site_lc_scores("site").join(cca.site_wa_scores("site"), "site")
-
-
-def cca_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cca, brands = _cca(spark, sf_dir)
-    tolerance = cca.species_tolerances("site")
-    return spark.createDataFrame([(b, s.tolist(), t.tolist()) for b, s, t in zip(brands, cca.species_scores, tolerance)], "brand string, scores array<double>, tolerances array<double>")
-
-
-def cca_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cca, _ = _cca(spark, sf_dir)
-    return spark.createDataFrame([(j, float(v), cca.biplot_scores[:, j].tolist(), cca.coefficients[:, j].tolist()) for j, v in enumerate(cca.eigenvalues)], "axis int, eigenvalue double, biplot array<double>, coefficients array<double>")
-
-
-def cca_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cca, _ = _cca(spark, sf_dir)
-    return cca.residuals("site")
-
-
-def ccora_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, brands = supplier_sites(spark, sf_dir)
-    fitted = CCorATransformer().fit(sites, ENVIRONMENT, [f"b{i}" for i in range(len(brands))])
-    o = fitted.ordination_
-    tests = list(o.f_test) + [None] * (len(o.cancorr) - len(o.f_test))
-    return spark.createDataFrame([(j, float(c), None if t is None else float(t), fitted.n_components_) for j, (c, t) in enumerate(zip(o.cancorr, tests))], "axis int, correlation double, p_value double, n_components int")
-
-
-def _site_model(estimator, **params) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sites, brands = supplier_sites(spark, sf_dir)
-        model = estimator(**params).fit(sites, ENVIRONMENT, [f"b{i}" for i in range(len(brands))], "site")
-        return model.kneighbors(return_dataframe_index=True)
-
-    return run
-
-
 def _tree_model(estimator, **params) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.length("s_name").alias("name_length"))
@@ -221,13 +183,6 @@ def boosting_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(w)) for n, w in zip(fitted.get_feature_names_out(), hamming_weights(fitted))], "tree string, weight double")
 
 
-def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and unusable values of the features, by one aggregate."""
-    rows = _table(spark, sf_dir, "customer")
-    bad = lambda c: F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("long"))
-    return rows.agg(F.count("*").alias("n"), bad("c_acctbal").alias("bad_acctbal"), bad("c_nationkey").alias("bad_nationkey"))
-
-
 def target_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
     return spark.createDataFrame(sorted(target_kinds(rows, rows.columns).items()), "target string, kind string")
@@ -309,15 +264,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "cca_inertia": (cca_inertia, _SITES + "SELECT round(max(t), 3) AS grand_total, round(sum(y * y / (r * c)) - 1, 8) AS inertia FROM cells JOIN sites USING (site) JOIN species USING (brand), total"),
     "hill_n2_site": (hill_n2_site, _SITES + "SELECT site, round(1 / sum((y / r) * (y / r)), 6) AS n2 FROM cells JOIN sites USING (site) GROUP BY 1"),
     "hill_n2_species": (hill_n2_species, _SITES + "SELECT brand, round(1 / sum((y / c) * (y / c)), 6) AS n2 FROM cells JOIN species USING (brand) GROUP BY 1"),
-    "validation_counts": (validation_counts, "SELECT count(*) AS n, CAST(sum(CAST(c_acctbal IS NULL OR isnan(c_acctbal) AS INTEGER)) AS BIGINT) AS bad_acctbal, CAST(sum(CAST(c_nationkey IS NULL AS INTEGER)) AS BIGINT) AS bad_nationkey FROM customer"),
-    "target_types": (target_types, "SELECT * FROM (VALUES ('c_acctbal', 'regression'), ('c_mktsegment', 'classification'), ('c_nationkey', 'regression')) AS t(target, kind)"),
-    "cca_site_scores": (cca_site_scores, None),
-    "cca_species": (cca_species, None),
-    "cca_axes": (cca_axes, None),
-    "cca_residuals": (cca_residuals, None),
-    "ccora_axes": (ccora_axes, None),
-    "gnn_knn": (_site_model(GNNRegressor), None),
-    "msn_knn": (_site_model(MSNRegressor), None),
+    "target_types": (target_types, None),
     "rfnn_knn": (_tree_model(RFNNRegressor, n_estimators=10), None),
     "gbnn_knn": (_tree_model(GBNNRegressor, n_estimators=10), None),
     "forest_leaves": (forest_leaves, None),
@@ -325,9 +272,15 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 }
 
 
+def _registered() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from kindred.plans.model_queries import ALL
+
+    return _ALL | {name: (run or _ALL[name][0], sql) for name, (run, sql) in ALL.items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in _ALL.items()}
+    return {name: run for name, (run, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _registered().items() if sql}

@@ -140,3 +140,49 @@ def test_queries_match_their_sql(spark):
         names = sorted(got.columns)
         a, b = (x[names].sort_values(names).reset_index(drop=True) for x in (got, want))
         assert a.astype(object).equals(b.astype(object)), name
+
+
+def test_queries_that_are_not_finite_are_refused(spark):
+    index = NeighbourIndex(table(spark, [[float(i)] for i in range(10)]), "id", "x")
+    for bad in (float("nan"), float("inf")):
+        asked = spark.createDataFrame([(100, [bad]), (101, [0.0]), (102, [9.0])], "id long, x array<double>")
+        for strategy in ("block", "grid"):
+            with pytest.raises(Exception, match="NaN or infinity"):
+                kneighbors(index, asked, 2, strategy=strategy).collect()
+    with pytest.raises(Exception, match="features"):
+        kneighbors(index, table(spark, [[1.0, 2.0]]), 2).collect()
+
+
+def test_rows_of_one_id_are_apart(spark):
+    rows = [(1, [0.0], 5.0), (1, [0.1], 6.0), (1, [7.0], 7.0), (2, [0.2], 8.0), (2, [0.2], 9.0)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y double")
+    got = {s: sorted(tuple(r) for r in kneighbors(NeighbourIndex(df, "id", "x"), None, 1, strategy=s).select("query_id", "neighbor_position", "distance").collect()) for s in ("block",)}
+    assert got["block"] == [(1, 0, pytest.approx(0.1)), (1, 1, pytest.approx(0.1)), (1, 3, pytest.approx(6.8)), (2, 3, 0.0), (2, 4, 0.0)]
+    assert sorted(r.y for r in predict(NeighbourIndex(df, "id", "x", ["y"]), None, 1).collect()) == [5.0, 6.0, 8.0, 8.0, 9.0]
+    from kindred.plans.estimators import RawKNNRegressor
+
+    with pytest.raises(ValueError, match="repeat"):
+        RawKNNRegressor(1).fit(df.select("id", "y", F.col("x")[0].alias("f")), ["f"], ["y"], "id")
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 3), st.integers(1, 6), st.sampled_from([("euclidean", 2), ("manhattan", 2), ("chebyshev", 2), ("minkowski", 3), ("minkowski", 1)]), st.booleans())
+def test_windows_find_what_all_pairs_find(seed, width, k, metric, ties):
+    r = np.random.default_rng(seed)
+    index = NeighbourIndex.__new__(NeighbourIndex)
+    index.x = r.integers(0, 12, (300, width)).astype(float) if ties else r.normal(size=(300, width)) * 10.0 ** r.integers(-3, 6)
+    index.n, index.width, index.metric, index.p, index.w = 300, width, *metric, None
+    own = r.permutation(300)[:90]
+    for asked, mine in ((index.x[own], own), (index.x[own] + r.normal(size=(90, width)), None)):
+        d, pos = index._windows(asked, k, mine)
+        e, want = nearest(asked, index.x, k, *metric, None, mine)
+        assert np.array_equal(d, e) and np.array_equal(pos, want)
+
+
+def test_columns_with_dots(spark):
+    from kindred.plans.estimators import EuclideanKNNRegressor
+
+    df = spark.createDataFrame([(i, float(i * i), float(i % 3), i * 2.0) for i in range(12)], "`a.id` long, `f.1` double, `f.2` double, `t.1` double")
+    model = EuclideanKNNRegressor(2).fit(df, ["f.1", "f.2"], ["t.1"], "a.id")
+    assert model.predict(df).count() == 12 and np.isfinite(model.independent_score_)
+    assert model.kneighbors(df).count() == 24

@@ -298,6 +298,11 @@ def test_sources(spark, tmp_path):
     assert len(read("y.csv", return_X_y=True)) == 2 and got.index.count() == 2
     with pytest.raises(ValueError, match="2 id"):
         read("z.csv")
+    placed = read("z.csv", match="position").frame
+    assert sorted((r.ID, r.t) for r in placed.collect()) == [(1, 8.5), (3, 7.0)]
+    (tmp_path / "long.csv").write_text("ID,t\n1,7\n4,8.5\n5,1\n")
+    with pytest.raises(ValueError, match="3"):
+        read("long.csv", match="position")
     with pytest.raises(Exception, match="(?i)malformed|parse|FAILFAST"):
         tables.load_csv_data(spark, str(tmp_path / "bad.csv"))[1].collect()
     assert tables.load_moscow_stjoes(spark, folder=str(tmp_path)).target_names == ["s"]
