@@ -2,14 +2,14 @@
 
 A sketch keeps every hash of a word shingle that lies below a fixed fraction of the hash range, so
 sketches of a corpus's parts merge by union and the containment of a short text in a long one
-can be estimated from what both kept. A text whose shingles all lie above the threshold keeps its
-least hash.
+can be estimated from what both kept. What a sketch keeps depends on the threshold alone, so the sketch of two texts
+together is the union of theirs; a short text may keep nothing at a scale above 1.
 
 Neighbours in descending doc_id order are found without one global window: documents are dealt to ranges of
 ids, and the first row of each range is sent along to the range above it.
 
 Defined cases: a null or empty text has the empty fingerprint; two empty fingerprints have likeness
-1, an empty and another 0; a text of fewer words than a shingle is one shingle; null ids come last in
+1, an empty and another 0 (at a scale above 1 an empty one says nothing of a short text); a text of fewer words than a shingle is one shingle; null ids come last in
 descending order; rows that repeat a doc_id follow each other by text hash; a table of one row is its own
 neighbour; an empty table gives no rows; extra columns are ignored.
 """
@@ -27,7 +27,7 @@ SHINGLE = 5
 SCALE, REPORT_SCALE = 8, 1
 #: Rows of a range of ids, and how many cells between quantiles there are at most; each cell has at most as
 #: many parts, so ranges are about a million at most.
-RANGE_ROWS, MAX_CELLS = 2_000, 1_024
+RANGE_ROWS, MAX_CELLS = 500, 1_024
 
 
 def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -39,9 +39,8 @@ def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE,
     df = df.withColumn("_words", F.expr(f"transform(regexp_extract_all(`{text_col}`, '{pattern}', 0), w -> xxhash64(w))"))
     every = f"CASE WHEN {n} >= {shingle} THEN transform(sequence(0, {n} - {shingle}), i -> xxhash64({get})) WHEN {n} > 0 THEN array(aggregate(_words, 42L, (a, w) -> xxhash64(a, w))) ELSE CAST(array() AS ARRAY<BIGINT>) END"
     df = df.withColumn("_every", F.expr(every))
-    df = df.withColumn("_low", F.expr(f"filter(_every, h -> h < {limit}L)" if scale > 1 else "_every"))
-    kept = "CASE WHEN size(_low) > 0 THEN sort_array(array_distinct(_low)) WHEN size(_every) > 0 THEN array(array_min(_every)) ELSE _every END"
-    return df.withColumn(name, F.expr(kept)).select(*own, name)
+    low = f"filter(_every, h -> h < {limit}L)" if scale > 1 else "_every"
+    return df.withColumn(name, F.expr(f"sort_array(array_distinct({low}))")).select(*own, name)
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
