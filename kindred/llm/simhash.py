@@ -2,7 +2,7 @@
 
 The 64 bits of a fingerprint are split into blocks; two fingerprints that differ in at most
 ``threshold`` bits differ in at most ``threshold // blocks`` bits of some block. On each block a
-product of perfect Hamming codes (and plain bits) is a covering code, whose words are the anchors:
+product of a perfect Hamming code and plain bits is a covering code, whose words are the anchors:
 every value is within the covering radius of one anchor, its home. Each fingerprint is sent to all
 anchors within covering radius plus the block's threshold, and at each anchor the fingerprints at
 home there are compared with all that came. So every link is found at the home of either end.
@@ -34,12 +34,9 @@ SEED = 42
 #: Rows of an anchor beyond which it is dealt out as a grid of cells.
 CELL_ROWS = 16_000
 
-#: Codes of the three blocks of 22, 21 and 21 bits: lengths 15, 7 and 3 are Hamming codes of covering
-#: radius 1, a negative length is so many plain bits. The second choice has more anchors for larger inputs.
-NARROW = ((15, 7), (15, 3, 3), (15, 3, 3))
-WIDE = ((15, -7), (-11, -10), (-11, -10))
-#: Distinct fingerprints from which the wide codes are used; both codes find the same links.
-WIDE_FROM = 8_000_000
+#: Codes of the three blocks of 22, 21 and 21 bits: a Hamming code of length 7 (covering radius 1) beside plain bits, which
+#: a negative length counts. A block has 2^19 or 2^18 anchors.
+CODES = ((7, -15), (7, -14), (7, -14))
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -149,11 +146,10 @@ def forest(fingerprints: np.ndarray, n_home: int, threshold: int) -> list[tuple[
     return list(zip(linked.tolist(), labels[linked].tolist()))
 
 
-def fingerprint_links(nodes: DataFrame, threshold: int = THRESHOLD, column: str = "fingerprint", cell_rows: int = CELL_ROWS, codes: tuple | None = None) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, threshold: int = THRESHOLD, column: str = "fingerprint", cell_rows: int = CELL_ROWS, codes: tuple = CODES) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of ``nodes`` exactly as all links would."""
     spark = nodes.sparkSession
     bounded_batches(spark)
-    codes = codes or (WIDE if nodes.count() >= WIDE_FROM else NARROW)
     if threshold >= 2 * len(codes):
         raise ValueError("a block's threshold has to be 1 at most; use more blocks")
 

@@ -188,7 +188,7 @@ def brute_components(prints, threshold=4):
     return label
 
 
-@pytest.mark.parametrize("codes", [simhash.NARROW, simhash.WIDE])
+@pytest.mark.parametrize("codes", [((15, 7), (15, 3, 3), (15, 3, 3)), simhash.CODES])
 @pytest.mark.parametrize("cell_rows", [16_000, 20])
 def test_anchors_miss_no_link(spark, codes, cell_rows):
     r = random.Random(4)
@@ -213,7 +213,7 @@ def test_anchors_miss_no_link(spark, codes, cell_rows):
 def test_codes_cover(spark):
     r = np.random.default_rng(5)
     prints = r.integers(0, 1 << 64, 300, dtype=np.uint64)
-    for codes in (simhash.NARROW, simhash.WIDE):
+    for codes in (((15, 7), (15, 3, 3), (15, 3, 3)), simhash.CODES):
         row, anchor, home = simhash.anchors_of(prints, codes)
         assert home.sum() == 3 * len(prints)
         reach = {(i, a) for i, a in zip(row.tolist(), anchor.tolist())}
