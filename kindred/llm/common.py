@@ -32,11 +32,13 @@ def hold(name: str, clear: Callable[[], None]) -> None:
 def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path for a written table in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    a single machine) a temporary folder takes its place. :func:`release` removes it unless ``keep``.
+    The folder is the session's ``spark.checkpoint.dir``; only on a single machine where that is unset (tests)
+    a temporary folder takes its place. :func:`release` removes it unless ``keep``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/kindred-{uuid.uuid4().hex[:12]}/{name}"

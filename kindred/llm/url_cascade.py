@@ -1,7 +1,7 @@
 """URL rules by a cascade of Bloom filters (operator 9).
 
-Every URL gives the keys that a rule could name: each suffix of its host at a label boundary, followed by
-each prefix of its path of a length that some rule has. The distinct keys of all URLs are the universe.
+Every URL gives the keys that a rule could name: each suffix of its host at a label boundary with no more labels
+than some rule has, followed by each prefix of its path of a length that some rule has. The distinct keys of all URLs are the universe.
 Level 0 of the cascade holds the listed keys; level 1 those keys of the universe that level 0 wrongly
 passes; level 2 the listed keys that level 1 wrongly passes; and so on until a level passes no wrong key.
 Membership of any key of the universe is then exact, and URLs are judged where they are, without a join.
@@ -48,11 +48,11 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumn("host", F.coalesce(F.translate("_host", UPPER, LOWER), F.lit(""))).drop("_rest", "_host")
 
 
-def keys_of(host: str, path: str, lengths: Sequence[int]) -> list[str]:
-    """The keys that a rule could name, the longest first."""
+def keys_of(host: str, path: str, lengths: Sequence[int], most: int) -> list[str]:
+    """The keys that a rule of ``most`` labels or fewer could name, the longest first."""
     if not host:
         return []
-    labels = host.split(".")
+    labels = host.rsplit(".", most)[-most:]
     suffixes = [".".join(labels[i:]) for i in range(len(labels))]
     return sorted((s + path[:n] for s in suffixes for n in lengths if n <= len(path)), key=len, reverse=True)
 
@@ -158,26 +158,26 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     """``pages`` with host, path, rule (the longest that fits, or null) and verdict."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    lengths = sorted({len(p) for _, _, p in rules})
+    lengths, most = sorted({len(p) for _, _, p in rules}), max((h.count(".") + 1 for _, h, _ in rules), default=1)
     parted = with_parts(pages.drop("host", "path", "rule", "verdict"), url_col)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            found = {k for h, p in pairs for k in keys_of(h, p, lengths)}
+            found = {k for h, p in pairs for k in keys_of(h, p, lengths, most)}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["key"])
 
     universe = written(parted.select("host", "path").mapInArrow(candidates, "key string").distinct(), "universe")
     listed = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string") for v in ("allow", "block")}
     cascades = {v: build_cascade(k, universe, max_bytes) for v, k in listed.items()}
     if None in cascades.values():
-        return _joined(parted, rules, lengths)
+        return _joined(parted, rules, lengths, most)
     shared = spark.sparkContext.broadcast(cascades)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             host, path = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path"))
-            keys = [keys_of(h, p, lengths) for h, p in zip(host, path)]
+            keys = [keys_of(h, p, lengths, most) for h, p in zip(host, path)]
             names = list({k for ks in keys for k in ks})
             verdict = {}
             for v, cascade in shared.value.items():
@@ -189,13 +189,13 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES
     return parted.mapInArrow(judge, f"{schema}, rule string, verdict string")
 
 
-def _joined(parted: DataFrame, rules: Sequence[tuple[str, str, str]], lengths: list[int]) -> DataFrame:
+def _joined(parted: DataFrame, rules: Sequence[tuple[str, str, str]], lengths: list[int], most: int) -> DataFrame:
     """The same result by joins on distinct (host, path), for lists whose filters would be too large."""
     table = parted.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "key string, verdict string")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, k) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in keys_of(h, p, lengths)]
+            rows = [(h, p, k) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in keys_of(h, p, lengths, most)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ((), (), ()))], ["host", "path", "key"])
 
     fits = parted.select("host", "path").distinct().mapInArrow(candidates, "host string, path string, key string").join(table, "key")
