@@ -2,7 +2,7 @@
 
 Trees are grown from exact splits on training rows that are broadcast after a check of their size (training
 tables are plot-scale); each (target, tree) is a task of its own, boosted targets are a task each. Larger tables
-go to the forests of ``pyspark.ml``, which handle squared loss. Trees can't match another implementation's
+are fitted by ``pyspark.ml``, whose splits are those of binned features. Trees can't match another implementation's
 node for node, as random streams differ; what is kept is what leaves mean.
 """
 
@@ -354,7 +354,11 @@ class TreeNodeTransformer:
         validate_targets(df, targets)
         n = validate_features(df, columns)
         if n * (len(columns) + len(targets)) * 8 > TRAIN_BYTES:
-            raise ValueError(f"{n} training rows are more than are broadcast; sample the training table or use pyspark.ml's forests by LargeForest")
+            self.large_ = _large_for(self).fit(df, columns, targets, categorical)
+            for state in ("forests_", "n_trees_per_iteration_", "tree_weights_", "classes_"):
+                setattr(self, state, getattr(self.large_, state))
+            return self
+        self.large_ = None
         names = [f"_t{i}" for i in range(len(targets))]
         rows = df.select(vector_of(columns).alias("x"), *[F.col(f"`{t}`").alias(a) for t, a in zip(targets, names)]).toPandas()
         x = np.vstack(rows["x"]).astype(float)
@@ -396,6 +400,8 @@ class TreeNodeTransformer:
         """``df`` with the leaf ids as an array column."""
         if not hasattr(self, "forests_"):
             raise RuntimeError(f"This {type(self).__name__} is not fitted yet")
+        if getattr(self, "large_", None):
+            return self.large_.transform(df, name)
         shared = df.sparkSession.sparkContext.broadcast(self.forests_)
         own = df.columns
 
@@ -520,36 +526,126 @@ def validated_forest_weights(weights: Sequence[float], n: int) -> np.ndarray:
     return out
 
 
-class LargeForest(TreeNodeTransformer):
-    """Leaves of ``pyspark.ml`` regression forests, for training tables that are too large to broadcast.
+class _Large(TreeNodeTransformer):
+    """Leaves of ``pyspark.ml`` models, for training tables that are too large to broadcast: splits of binned features, a
+    model for each target (and class), all rows stay in the executors."""
 
-    Numeric targets and 0/1 classes (whose variance ranks splits as Gini impurity does) only.
-    """
-
-    def __init__(self, *, n_estimators: int = 50, max_depth: int = 12, min_samples_leaf: int = 5, random_state: int = 0, max_bins: int = 256):
-        self.__dict__.update({k: v for k, v in locals().items() if k not in ("self", "__class__")})
-
-    def fit(self, df: DataFrame, columns: Sequence[str], targets: Sequence[str], categorical: Sequence[str] = ()) -> LargeForest:
+    def fit(self, df: DataFrame, columns: Sequence[str], targets: Sequence[str], categorical: Sequence[str] = ()) -> _Large:
         from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import RandomForestRegressor
 
         self.columns, self.targets = list(columns), list(targets)
-        rows = VectorAssembler(inputCols=self.columns, outputCol="_v").transform(df)
-        self.models_ = []
-        for t in targets:
-            forest = RandomForestRegressor(featuresCol="_v", labelCol="_y", leafCol="_leaf", numTrees=self.n_estimators, maxDepth=self.max_depth, minInstancesPerNode=self.min_samples_leaf, featureSubsetStrategy="all", seed=self.random_state, maxBins=self.max_bins)
-            self.models_.append(forest.fit(rows.withColumn("_y", F.col(f"`{t}`").cast("double"))))
-        self.n_trees_per_iteration_ = [1] * len(targets)
-        self.tree_weights_ = [np.full(self.n_estimators, 1.0 / self.n_estimators) for _ in targets]
-        self.forests_ = [[None] * self.n_estimators for _ in targets]
+        self.target_kinds_ = target_kinds(df, targets, categorical)
+        validate_targets(df, targets)
+        rows = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(columns))], outputCol="_v").transform(
+            df.select(*[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(columns)], *[F.col(f"`{t}`").alias(f"_t{i}") for i, t in enumerate(targets)])
+        )
+        self.models_, self.classes_, self.n_trees_per_iteration_, self.tree_weights_, self.forests_ = [], [], [], [], []
+        for i, t in enumerate(targets):
+            own = rows.select("_v", F.col(f"_t{i}").alias("_y"))
+            classes = None
+            if self.target_kinds_[t] == "classification":
+                own = own.withColumn("_y", F.col("_y").cast("string"))
+                classes = sorted(r[0] for r in own.select("_y").distinct().collect())
+            self.classes_.append(classes)
+            self._one(own, classes)
         return self
 
+    def _least(self, rows: DataFrame) -> int:
+        return _count(self.min_samples_leaf, rows.count()) if isinstance(self.min_samples_leaf, float) else self.min_samples_leaf
+
+    def _keep(self, models: list, weights: np.ndarray, per: int) -> None:
+        self.models_ += models
+        self.n_trees_per_iteration_.append(per)
+        self.tree_weights_.append(weights)
+        self.forests_.append([None] * len(weights))
+
     def transform(self, df: DataFrame, name: str = "leaves") -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        own, out = df.columns, VectorAssembler(inputCols=self.columns, outputCol="_v").transform(df)
+        own = [F.col(f"`{c}`") for c in df.columns]
+        made = df.select(F.struct(*own).alias("_row"), *[F.col(f"`{c}`").cast("double").alias(f"_f{i}") for i, c in enumerate(self.columns)])
+        out = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(self.columns))], outputCol="_v").transform(made).select("_row", "_v")
         for i, m in enumerate(self.models_):
-            out = m.copy({m.leafCol: f"_leaf{i}", m.predictionCol: f"_p{i}"}).transform(out)
+            changed = {m.leafCol: f"_leaf{i}", m.predictionCol: f"_p{i}"}
+            for extra in ("rawPredictionCol", "probabilityCol"):
+                if m.hasParam(extra):
+                    changed[m.getParam(extra)] = ""
+            out = m.copy(changed).transform(out)
         leaves = F.concat(*[vector_to_array(f"_leaf{i}").cast("array<bigint>") for i in range(len(self.models_))])
-        return out.select(*own, leaves.alias(name))
+        return out.select("_row.*", leaves.alias(name))
+
+
+def _indexed(rows: DataFrame, classes: list[str]) -> DataFrame:
+    numbers = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+    return rows.withColumn("_y", numbers[F.col("_y")])
+
+
+class LargeForest(_Large):
+    def __init__(self, *, n_estimators: int = 50, max_depth: int | None = 12, min_samples_leaf: int = 5, criterion_clf: str = "gini", max_features_reg: str | int | float | None = 1.0, max_features_clf: str | int | float | None = "sqrt", bootstrap: bool = True, random_state: int | None = 0, max_bins: int = 256):
+        self.__dict__.update({k: v for k, v in locals().items() if k not in ("self", "__class__")})
+
+    def _one(self, rows: DataFrame, classes: list[str] | None) -> None:
+        from pyspark.ml.classification import RandomForestClassifier
+        from pyspark.ml.regression import RandomForestRegressor
+
+        def subset(rule) -> str:
+            return f"{features_per_split(rule, len(self.columns))}"
+
+        common = {"featuresCol": "_v", "labelCol": "_y", "leafCol": "_leaf", "numTrees": self.n_estimators, "maxDepth": 30 if self.max_depth is None else self.max_depth, "minInstancesPerNode": self._least(rows), "bootstrap": self.bootstrap, "seed": self.random_state or 0, "maxBins": self.max_bins}
+        if classes is None:
+            model = RandomForestRegressor(featureSubsetStrategy=subset(self.max_features_reg), **common).fit(rows.withColumn("_y", F.col("_y").cast("double")))
+        else:
+            model = RandomForestClassifier(featureSubsetStrategy=subset(self.max_features_clf), impurity="gini" if self.criterion_clf == "gini" else "entropy", **common).fit(_indexed(rows, classes))
+        self._keep([model], np.full(self.n_estimators, 1.0 / self.n_estimators), 1)
+
+    def get_feature_names_out(self) -> list[str]:
+        return RFNodeTransformer.get_feature_names_out(self)
+
+
+class LargeBoosting(_Large):
+    """A model for each numeric target or pair of classes, and one for each of more classes, against the others."""
+
+    def __init__(self, *, n_estimators: int = 100, learning_rate: float = 0.1, subsample: float = 1.0, max_depth: int | None = 3, min_samples_leaf: int = 1, random_state: int | None = 0, tree_weighting_method: str = "train_improvement", max_bins: int = 256):
+        self.__dict__.update({k: v for k, v in locals().items() if k not in ("self", "__class__")})
+
+    def _one(self, rows: DataFrame, classes: list[str] | None) -> None:
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.regression import GBTRegressor
+
+        common = {"featuresCol": "_v", "labelCol": "_y", "leafCol": "_leaf", "maxIter": self.n_estimators, "stepSize": self.learning_rate, "subsamplingRate": self.subsample, "maxDepth": 30 if self.max_depth is None else self.max_depth, "minInstancesPerNode": self._least(rows), "seed": self.random_state or 0, "maxBins": self.max_bins}
+        if classes is None:
+            rows = rows.withColumn("_y", F.col("_y").cast("double"))
+            start = rows.agg(F.var_pop("_y")).first()[0]
+            models, losses = [GBTRegressor(**common).fit(rows)], []
+            losses.append([start, *models[0].evaluateEachIteration(rows, "squared")])
+        else:
+            models, losses = [], []
+            for c in classes[1:] if len(classes) == 2 else classes:
+                one = rows.withColumn("_y", (F.col("_y") == c).cast("double"))
+                share = one.agg(F.avg("_y")).first()[0]
+                models.append(GBTClassifier(**common).fit(one))
+                start = -2 * (share * np.log(share) + (1 - share) * np.log(1 - share)) if 0 < share < 1 else 0.0
+                losses.append([start, *models[-1].evaluateEachIteration(one)])
+        per = len(models)
+        if self.tree_weighting_method == "uniform":
+            weights = np.full(self.n_estimators * per, 1.0 / (self.n_estimators * per))
+        else:
+            w = np.maximum(train_improvement(np.mean(losses, axis=0)), 0.0)  # a stage can lose what the first tree won
+            weights = np.tile(w / w.sum(), per)
+        self._keep(models, weights, per)
+
+    def get_feature_names_out(self) -> list[str]:
+        return GBNodeTransformer.get_feature_names_out(self)
+
+
+def _large_for(small: TreeNodeTransformer) -> _Large:
+    """The transformer for large tables with the options of a small one; an option that it lacks has to have its default."""
+    import inspect
+
+    kind = LargeForest if isinstance(small, RFNodeTransformer) else LargeBoosting
+    known, defaults = inspect.signature(kind.__init__).parameters, inspect.signature(type(small).__init__).parameters
+    lost = [n for n, p in defaults.items() if n != "self" and n not in known and getattr(small, n) != p.default]
+    if lost:
+        raise ValueError(f"A training table of this size is fitted by pyspark.ml, which has no {', '.join(lost)}")
+    return kind(**{n: getattr(small, n) for n in defaults if n in known and n != "self"})

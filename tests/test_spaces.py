@@ -218,6 +218,23 @@ def test_large_forest(data):
     assert {len(r.leaves) for r in leaves.collect()} == {6} and leaves.columns == [*data.columns, "leaves"]
 
 
+@pytest.mark.parametrize("estimator, per", [(E.RFNNRegressor, (1, 1, 1)), (E.GBNNRegressor, (1, 1, 3))])
+def test_large_tables_are_fitted_in_the_executors(data, monkeypatch, estimator, per):
+    """Beyond the limit: leaves still tell plots apart, for numbers, two classes and three."""
+    from kindred.operators import trees
+
+    rows = data.withColumn("two", F.col("p") > 3).withColumn("three", F.when(F.col("a") < 4, "x").when(F.col("a") < 5.5, "y").otherwise("z"))
+    monkeypatch.setattr(trees, "TRAIN_BYTES", 0)
+    model = estimator(n_estimators=4, max_depth=4, n_neighbors=3, random_state=1, min_samples_leaf=0.02).fit(rows, X, ["p", "two", "three"], "id")
+    assert tuple(model.transformer_.n_trees_per_iteration_) == per and len(model.transformer_.get_feature_names_out()) == 4 * sum(per) == model.n_features_in_
+    assert model.hamming_weights_.sum() == pytest.approx(1)
+    assert {r.query_id for r in model.kneighbors(return_dataframe_index=True).collect()} == {r.id for r in rows.select("id").collect()}
+    near = model.kneighbors(rows, 1).collect()
+    assert all(r.distance == pytest.approx(0, abs=1e-9) for r in near)
+    with pytest.raises(ValueError, match="max_leaf_nodes"):
+        estimator(max_leaf_nodes=3).fit(rows, X, ["p"], "id")
+
+
 @pytest.mark.parametrize("estimator, params", [(E.RawKNNRegressor, {}), (E.EuclideanKNNRegressor, {}), (E.MahalanobisKNNRegressor, {}), (E.MSNRegressor, {"n_components": 1}), (E.GNNRegressor, {"n_components": 2}), (E.RFNNRegressor, {"n_estimators": 5, "random_state": 0}), (E.GBNNRegressor, {"n_estimators": 5, "random_state": 0})])
 def test_estimators(data, estimator, params):
     model = estimator(n_neighbors=3, **params)
