@@ -12,17 +12,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _moved(edges: DataFrame, keep: str, ends: str) -> tuple[DataFrame, DataFrame]:
+    """From each node's edges (u, v) that ``keep`` names, edges of v to the least node near u; and the least nodes, written: a
+    join with a written table can deal out a hub's rows to several tasks, one with an aggregate can't."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.expr(ends).alias("m")), "least")
+    return edges.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")), least
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large star, then a small star."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    moved, near = _moved(both, "v > u AND v <> m", "least(u, m)")
+    large = written(moved.distinct(), "edges")
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    moved, least = _moved(down, "v <> m", "m")
+    out = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    for old in (near, large, least):
+        discard(old)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, _round(edges)
         before, state = state, _state(edges)
         discard(old)
         if before == state:

@@ -219,7 +219,7 @@ def simhash_components(docs: DataFrame, threshold: int = THRESHOLD, doc_col: str
     prints = written(with_fingerprint(docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))).select("doc_id", "fingerprint"), "fingerprints")
     labels = components_of(prints, threshold)
     first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(labels, "fingerprint")
-    named = first.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(first.groupBy("component").agg(F.min("least").alias("component_id")), "named")
     labels = labels.join(named, "component").select("fingerprint", "component_id")
     return prints.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
