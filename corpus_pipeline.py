@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents. As a stage's result is
 written before the next begins, each stage first removes the tables that earlier ones wrote on their way.
+
+Defined cases: a null or empty text fails the quality rules, so its row goes with the first stage; a null or unknown lang
+has its character classes held against those of all languages together; rows that repeat (and ties) are one group of near-duplicates, of which one
+row stays; a row without a doc_id stays if its text is its own; very long texts are taken whole; an empty table gives
+an empty one of the same columns at every stage; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -78,7 +83,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The classifier and the packing can't be expressed in SQL; tests hold each stage against a brute-force version.
+#: The classifier and the packing can't be expressed in SQL; tests hold the operators, and the stage of near-duplicates,
+#: against brute-force versions.
 ORACLE_SQL = None
 
 
