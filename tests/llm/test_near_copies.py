@@ -52,3 +52,19 @@ def test_stage_keeps_one_of_each_component(spark):
     assert got.columns == docs.columns
     assert Counter(x.doc_id for x in got.collect()) == Counter(least)
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_of_an_empty_table_and_of_one_text(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, u long, key string"
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/none/documents.parquet")
+    text = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, text, "en", "s", len(text), 1, "k") for i in (3, 2, 2)] + [(9, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/same/documents.parquet")
+    for kind in ("none", "same"):
+        spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{kind}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, f"{tmp_path}/{kind}").columns == docs.columns
+        kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+        assert sorted(r.doc_id for r in kept) == ([] if kind == "none" else [2, 9])
+        assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
