@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space (operator 5).
 
-A text becomes a hashed bag of word shapes, shape pairs, frequent words and a few binned measures of the
-whole text. A bounded sample of labelled rows fixes inverse document frequencies and, by an
+A text becomes a hashed bag of all its words, word shapes and shape pairs, and of a few binned measures of the
+whole text; texts of every length are described alike. A bounded sample of labelled rows fixes inverse document frequencies and, by an
 eigendecomposition of their Gram matrix, a latent space; the labelled vectors in it are broadcast. Every
 document's cosine with every labelled vector is computed exactly, block by block, and the labels of the
 nearest vote with a weight that grows with their similarity.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 from zlib import crc32
 
 import numpy as np
@@ -36,22 +37,15 @@ LATENT = 64
 NEIGHBOURS = 25
 #: Votes weigh similarity to this power.
 SHARPNESS = 8
+#: A word counts so much less than a shape, as words are many and each of them is rare.
+WORD_WEIGHT = 0.2
 BLOCK = 500
 
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
-_TERM: dict[bytes, int] = {}
-
-
-def _own_caches() -> None:
-    hold("terms", _TERM.clear)
 
 
 def _term(name: bytes) -> int:
-    if name not in _TERM:
-        if len(_TERM) > 300_000:
-            _TERM.clear()
-        _TERM[name] = crc32(name) % TERMS
-    return _TERM[name]
+    return crc32(name) % TERMS
 
 
 def terms_of(text: str) -> tuple[list[int], list[float]]:
@@ -65,17 +59,12 @@ def terms_of(text: str) -> tuple[list[int], list[float]]:
         classes = np.frombuffer(raw.translate(_SHAPE), np.uint8)
         changes = np.concatenate([[True], classes[1:] != classes[:-1]])
         shapes = classes[changes].tobytes().split()
-        share = {}
-        for name, k in Counter(shapes).items():
-            share[b"s" + name[:24]] = k
-        for (a, b), k in Counter(zip(shapes, shapes[1:])).items():
-            share[b"p" + a[:12] + b" " + b[:12]] = k
-        for name, k in share.items():
-            bag[_term(name)] += np.log1p(100.0 * k / n)
         counts = Counter(words)
-        for name, k in counts.items():
-            if k > 1 or n < 100:
-                bag[_term(b"w" + name[:24])] += 0.2 * np.log1p(100.0 * k / n)
+        found = [(b"s%b" % name, 1.0, k) for name, k in Counter(shapes).items()]
+        found += [(b"p%b %b" % pair, 1.0, k) for pair, k in Counter(zip(shapes, shapes[1:])).items()]
+        found += [(b"w%b" % name, WORD_WEIGHT, k) for name, k in counts.items()]
+        for name, weight, k in found:
+            bag[_term(name)] += weight * log1p(100.0 * k / n)
         lines = [x for x in raw.split(b"\n") if x.strip()]
         measures |= {
             b"#distinct": int(10 * len(counts) / n),
@@ -168,7 +157,7 @@ def with_score(docs: DataFrame, model: VoteModel, text_col: str = "text", name:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _own_caches()
+        hold("terms", int)
         for batch in batches:
             found = shared.value.scores([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])

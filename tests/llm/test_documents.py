@@ -100,6 +100,19 @@ def brute_votes(model, text):
     return float((w * model.labels[near]).sum() / w.sum())
 
 
+def test_terms_are_whole_words_at_every_length():
+    at, value = neighbour_votes.terms_of("")
+    assert len(at) <= 3
+    for n in (99, 100, 101, 5_000):
+        words = [f"w{i}x" for i in range(n)]
+        terms = set(neighbour_votes.terms_of(" ".join(words))[0])
+        assert {neighbour_votes._term(b"w" + w.encode()) for w in words} <= terms
+    long = "a" * 200_000
+    (one, _), (other, _) = (neighbour_votes.terms_of(long + end) for end in "bc")
+    assert set(one) != set(other)
+    assert neighbour_votes._term(b"w" + long.encode() + b"b") in one
+
+
 def test_votes_learn_only_what_they_may(spark, odd, empty):
     r = random.Random(3)
     good = [" ".join(r.choice(["the", "river", "runs", "to", "sea", "and"]) for _ in range(60)) for _ in range(150)]
