@@ -2,9 +2,9 @@
 
 Each task packs the documents of its own partition, in one pass and without a shuffle. A document
 is cut into full windows; its remainder goes to the fill level that minimises the sum over levels of
-the squared count of partially filled windows, tracked in an array of counts. What is left open at
-the end of a partition is joined by cutting pieces, and the last window is cut to powers of two, at
-which a sequence needs no padding, so a partition pads nothing.
+the squared count of partially filled windows, tracked in an array of counts. Of the windows still open at
+the end of a partition the emptiest are taken apart and cut to fill up the others, and the last is cut to
+powers of two, at which a sequence needs no padding, so a partition pads nothing.
 
 Defined cases: a null text is the empty text (one piece with the end id only); repeated rows and
 null ids are packed as they come; an empty table gives no rows; extra columns are ignored; an added token's
@@ -14,6 +14,7 @@ string in a text is that token, as the library has it.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,25 +69,42 @@ class LevelPacker:
         self.counts[level + size] += 1
         return None
 
+    @staticmethod
+    def _take(loose: list[tuple], room: int) -> list[tuple]:
+        """Up to ``room`` ids from the end of ``loose``, of which the last piece may be cut."""
+        taken = []
+        while room and loose:
+            tag, start, ids = loose.pop()
+            size = min(room, len(ids) // 4)
+            taken.append((tag, start, ids[: 4 * size]))
+            if len(ids) > 4 * size:
+                loose.append((tag, start + size, ids[4 * size :]))
+            room -= size
+        return taken
+
+    @staticmethod
+    def _size(pieces: list[tuple]) -> int:
+        return sum(len(p[2]) // 4 for p in pieces)
+
     def rest(self) -> Iterator[list]:
-        """Close what is open: the pieces in order, cut to full windows and then to powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        left = sum(len(p[2]) // 4 for p in pieces)
-        pieces.reverse()
-        while left:
-            room = min(self.capacity, left)
-            if room < self.capacity:
-                room = 1 << (room.bit_length() - 1)
-            left -= room
-            window = []
-            while room:
-                tag, start, ids = pieces.pop()
-                size = min(room, len(ids) // 4)
-                window.append((tag, start, ids[: 4 * size]))
-                if len(ids) > 4 * size:
-                    pieces.append((tag, start + size, ids[4 * size :]))
-                room -= size
-            yield window
+        """Close what is open: the fullest windows stay as they are and are filled up with pieces of the
+        emptiest, which are taken apart and cut; what is left of the last one goes to powers of two."""
+        windows = deque(w for level in sorted(self.open) for w in self.open[level])
+        loose: list[tuple] = []
+        while windows:
+            window = windows.pop()
+            while room := self.capacity - self._size(window):
+                if not loose:
+                    if not windows:
+                        break
+                    loose = windows.popleft()
+                window += self._take(loose, room)
+            if room:
+                loose = window
+            else:
+                yield window
+        while left := self._size(loose):
+            yield self._take(loose, 1 << (left.bit_length() - 1))
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = SEQUENCE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,7 +134,11 @@ def test_levels_are_those_of_least_squares(sizes):
         if full := packer.place((n, 0, b"abcd" * size)):
             windows.append(full)
     assert all(sum(len(p[2]) // 4 for p in w) == 64 for w in windows)
-    rest = [sum(len(p[2]) // 4 for p in w) for w in packer.rest()]
+    opened = [list(w) for level in sorted(packer.open) for w in packer.open[level]][::-1]
+    closed = list(packer.rest())
+    rest = [sum(len(p[2]) // 4 for p in w) for w in closed]
+    full = sum(rest) // 64
+    assert [w[: len(o)] for w, o in zip(closed[:full], opened)] == opened[:full]
     assert all(n & (n - 1) == 0 for n in rest)
     assert sum(rest) + 64 * len(windows) == sum(sizes)
 
