@@ -10,7 +10,7 @@ ids, and the first row of each range is sent along to the range above it.
 
 Defined cases: a null or empty text has the empty fingerprint; two empty fingerprints have likeness
 1, an empty and another 0 (at a scale above 1 an empty one says nothing of a short text); a text of fewer words than a shingle is one shingle; null ids come last in
-descending order; rows that repeat a doc_id follow each other by text hash; a table of one row is its own
+descending order, by text hash, and are dealt to ranges by it; rows that repeat a doc_id follow each other by text hash; a table of one row is its own
 neighbour; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -70,13 +70,15 @@ def _tree(bounds: list[int], values: list[str], lo: int = 0, hi: int | None = No
     return f"IF(_id <= {bounds[mid]}L, {_tree(bounds, values, lo, mid)}, {_tree(bounds, values, mid + 1, hi)})"
 
 
-def _range_of(ids: DataFrame, rows: int, most: int) -> Column:
+def _range_of(ids: DataFrame, rows: int, most: int) -> tuple[Column, int]:
     """A number for each id that never falls as ids rise, and that about ``rows`` rows share.
 
+    Rows without an id have negative numbers, which fall as ``_tie`` rises; how many numbers they have comes second.
+
     Cells between quantiles of all ids hold equal counts; where there would be more than ``most`` cells, each is
     cut into up to ``most`` parts of equal width.
     """
-    n, least, largest = ids.agg(F.count("_id"), F.min("_id"), F.max("_id")).first()
+    n, least, largest, without = ids.agg(F.count("_id"), F.min("_id"), F.max("_id"), F.count_if(F.col("_id").isNull())).first()
     wanted = max(1, n // rows)
     cells = min(most, wanted)
     bounds: list[int] = []
@@ -91,7 +93,9 @@ def _range_of(ids: DataFrame, rows: int, most: int) -> Column:
         width = F.expr(_tree(bounds, [f"{max(1, y - x)}D" for x, y in zip(edges, edges[1:])]))
         part = F.least(F.floor((F.col("_id").cast("double") - low) * parts / width), F.lit(parts - 1))
         number = number * parts + F.greatest(part, F.lit(0))
-    return F.when(F.col("_id").isNull(), F.lit(-1).cast("long")).otherwise(number)
+    slots = max(1, min(most * most, without // rows))
+    slot = F.least(F.floor((F.col("_tie") / float(1 << 64) + 0.5) * slots), F.lit(slots - 1)) if slots > 1 else F.lit(0)
+    return F.when(F.col("_id").isNull(), (-1 - slot).cast("long")).otherwise(number), slots
 
 
 def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows: int = RANGE_ROWS, most: int = MAX_CELLS) -> DataFrame:
@@ -101,19 +105,22 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str], rows: int = R
     """
     own = df.columns
     null_id = -(1 << 63)
-    ids = df.select(F.col(id_col).cast("long").alias("_id"))
-    number = _range_of(ids, rows, most)
-    # a row for each range: its largest id, and the range above it; above the highest comes the lowest
-    heads = ids.withColumn("_range", number).groupBy("_range").agg(F.coalesce(F.max("_id"), F.lit(null_id)).alias("_first"))
+    tied = df.withColumns({"_id": F.col(id_col).cast("long"), "_tie": F.xxhash64(*columns)})
+    number, slots = _range_of(tied, rows, most)
+    # the first row of a range in descending order; ties are looked at only where rows without an id are many
+    tie = F.when(F.col("_id").isNull(), F.col("_tie")).otherwise(0) if slots > 1 else F.lit(0).cast("long")
+    place = F.struct(F.coalesce("_id", F.lit(null_id)).alias("id"), (-1 - tie).alias("tie"))
+    # a row for each range: its first row's place, and the range above it; above the highest comes the lowest
+    heads = tied.withColumn("_range", number).groupBy("_range").agg(F.max(place).alias("_first"))
     upwards = Window.orderBy("_range")
     lowest = F.first("_range").over(upwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.withColumn("_above", F.coalesce(F.lead("_range").over(upwards), lowest))
 
-    keyed = df.select(*own, F.col(id_col).cast("long").alias("_id"), F.xxhash64(*columns).alias("_tie")).withColumn("_range", number)
-    keyed = keyed.join(F.broadcast(heads), "_range")  # most * most rows of three numbers at most
+    keyed = tied.select(*own, "_id", "_tie").withColumn("_range", number)
+    keyed = keyed.join(F.broadcast(heads), "_range")  # 2 * most * most rows of a few numbers at most
     here = F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost"))
     there = F.struct(F.col("_above").alias("r"), F.lit(True).alias("ghost"))
-    is_head = F.coalesce("_id", F.lit(null_id)) == F.col("_first")
+    is_head = place == F.col("_first")
     sent = keyed.withColumn("_to", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))))
     w = Window.partitionBy("_to.r").orderBy("_to.ghost", F.col("_id").desc_nulls_last(), "_tie")
     following = {n: F.lead(c).over(w) for c, n in columns.items()}
