@@ -223,3 +223,14 @@ def test_largest_differences_of_odd_rows():
         d, q = nearest(rows, rows, 4, "chebyshev", 2, None, np.arange(90))
         want = _brute(rows, rows, "chebyshev", 2, np.arange(90))
         assert (q == want[1]).all() and (d == want[0]).all()
+
+
+@pytest.mark.parametrize("p", [3, 2.5])
+def test_powers_of_wide_rows_come_from_candidates(monkeypatch, p):
+    r = np.random.default_rng(12)
+    rows = r.normal(size=(900, 20))
+    rows[450:] = rows[:450]  # ties
+    want = _brute(rows[:60], rows, "minkowski", p, np.arange(60))
+    cells = _counted(monkeypatch)
+    d, q = nearest(rows[:60], rows, 5, "minkowski", p, None, np.arange(60))
+    assert (q == want[1]).all() and np.allclose(d, want[0], atol=1e-12) and not cells
