@@ -1,5 +1,7 @@
 """Feature spaces against direct formulas, forests, estimators, sources, streaming."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -357,3 +359,20 @@ def test_streams(spark, data, tmp_path):
         q.stop()
     assert {r.id: round(r.p, 9) for r in spark.table("scored").collect()} == {r.id: round(r.p, 9) for r in model.predict(data).collect()}
     assert spark.table("near").count() == 180
+
+
+def test_p_values_of_many_sites():
+    """Against Simpson's rule with steps far below the width of the density, which narrows with the number of rows."""
+    correlations = np.array([0.026, 0.021, 0.019, 0.016])
+    for n in (1_000, 60_000):
+        got = correlation_test(25, 4, n, correlations * np.sqrt(60_000 / n))
+        for i, value in enumerate(got):
+            p, q = 25 - i, 4 - i
+            power = np.sqrt((p * p * q * q - 4) / (p * p + q * q - 5))
+            wilks = np.prod(1 - (correlations[i:] ** 2) * 60_000 / n) ** (1 / power)
+            a, b = ((n - 16) * power - (p * q - 2) / 2) / 2, p * q / 2
+            s = np.arange(1, 2_000_001) / 2_000_000
+            density = np.exp((a - 1) * np.log(wilks * s) + (b - 1) * np.log1p(-wilks * s) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+            weights = np.where(np.arange(1, 2_000_001) % 2 == 1, 4, 2)
+            weights[-1] = 1
+            assert abs(value - (weights * density).sum() * wilks / 2_000_000 / 3) < 1e-7
