@@ -18,6 +18,7 @@ every score is 0.5; null ids and repeated rows are scored like any; extra column
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -95,11 +96,15 @@ class VoteModel:
         self.labels = labels.astype(np.float32)
         if not len(labels):
             return
-        seen = (bags > 0).sum(0)
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(bags), BLOCK)]
+        seen = sum((bags[s] > 0).sum(0) for s in blocks)
         idf = np.log((1 + len(bags)) / (1 + seen)) + 0.1
-        weighted = bags * idf
-        weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
-        values, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
+        gram = np.zeros((bags.shape[1], bags.shape[1]))
+        for s in blocks:
+            weighted = bags[s] * idf
+            weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
+            gram += weighted.T @ weighted
+        values, vectors = np.linalg.eigh(gram)
         top = vectors[:, ::-1][:, : min(latent, len(values))]
         self.projection = (idf[:, None] * top).astype(np.float32)
         self.vectors = self._unit(bags @ self.projection)
@@ -143,11 +148,20 @@ def fit_votes(docs: DataFrame, labels: DataFrame, label_col: str = "quality", do
             found = [terms_of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc", "label", "at", "value"])
 
-    rows = texts.mapInArrow(bags, "doc long, label int, at array<int>, value array<float>").toArrow().sort_by("doc")
-    matrix = np.zeros((rows.num_rows, TERMS), np.float32)
-    for row, at, value in zip(matrix, rows["at"], rows["value"]):
-        row[at.values.to_numpy()] = value.values.to_numpy()
-    return VoteModel(matrix, rows["label"].to_numpy())
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by("doc")
+        matrix = np.zeros((rows.num_rows, TERMS), np.float32)
+        for row, at, value in zip(matrix, rows["at"], rows["value"]):
+            row[at.values.to_numpy()] = value.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(VoteModel(matrix, rows["label"].to_numpy()))], pa.binary())], ["model"])
+
+    # fitted by one task: the sample is bounded, and its matrices are large for a driver
+    found = texts.mapInArrow(bags, "doc long, label int, at array<int>, value array<float>")
+    model = found.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(bytes(model[0])) if model else VoteModel(np.zeros((0, TERMS)), np.zeros(0))
 
 
 def with_score(docs: DataFrame, model: VoteModel, text_col: str = "text", name: str = "score") -> DataFrame:

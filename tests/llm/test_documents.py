@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -223,6 +224,39 @@ def test_anchors_miss_no_link(spark, codes, cell_rows):
     assert groups({p: got.get(p, p - (1 << 64) if p >> 63 else p) for p in prints}) == groups(want)
 
 
+def test_components_at_once_and_by_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(r.randint(-90, -50), r.randint(-90, -50)) for _ in range(25)] + [(100 + i, 100) for i in range(30)] + [(7, 7)]
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    linked = {n for a, b in edges for n in (a, b) if a != b}
+    table = spark.createDataFrame(edges, "u long, v long")
+    rounds = []
+    run_round = components._round
+    monkeypatch.setattr(components, "_round", lambda e: rounds.append(1) or run_round(e))
+    assert {x.node: x.component for x in components.connected_components(table).collect()} == {n: want[n] for n in linked}
+    assert not rounds  # each costs the driver five jobs
+    got = {x.node: x.component for x in components.connected_components(table, at_once=10).collect()}
+    assert rounds and {n: got.get(n, n) for n in linked} == {n: want[n] for n in linked}
+    assert components.connected_components(table.where("u = v")).isEmpty()
+
+
+def test_classifier_is_not_fitted_in_the_drivers_memory(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        model = neighbour_votes.fit_votes(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.labels) > 20 and model.projection.shape == (neighbour_votes.TERMS, neighbour_votes.LATENT)
+    assert peak < 20e6  # a square matrix of all terms has 34 MB
+    none = neighbour_votes.fit_votes(docs.where("doc_id < 0"), labels)
+    assert not len(none.labels)
+
+
 def test_codes_cover(spark):
     r = np.random.default_rng(5)
     prints = r.integers(0, 1 << 64, 300, dtype=np.uint64)
