@@ -18,7 +18,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm.common import documents, made, release, written
+from kindred.llm.common import bounded_groups, documents, made, release, shipped, written
 from kindred.llm.near_copies import drop_near_copies
 from kindred.llm.neighbour_votes import fit_votes, keep_quality
 from kindred.llm.packing import pack_sequences
@@ -35,6 +35,8 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _LEFT)
+        shipped(spark)
+        bounded_groups(spark)
         before = set(made())
         out = function(spark, docs, sf_dir)
         _LEFT.extend(p for p in made() if p not in before)

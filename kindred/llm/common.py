@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Upper bounds of one Arrow batch handed to Python, whatever the text lengths are.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: What a task holds of a Parquet file: bytes of a row group that it writes (and later reads), rows that it decodes at once.
+GROUP_BYTES = 16 << 20
+READ_ROWS = 512
 
 _MADE: list[str] = []
 _CLEAR: dict[str, Callable[[], None]] = {}
+_SHIPPED: set[str] = set()
 
 
 def hold(name: str, clear: Callable[[], None]) -> None:
@@ -50,6 +56,7 @@ def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
+    bounded_groups(spark)
     path = scratch(spark, name, keep)
     schema = df.schema
     df.write.parquet(path)
@@ -87,6 +94,27 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def bounded_groups(spark: SparkSession) -> None:
+    """Bound the row groups that tasks write and the rows that they decode at once, as each task of a JVM holds its own: by
+    Spark's defaults these are 128 MB and 4,096 texts, however long."""
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application: they may run where it is not on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='kindred-')}/{top.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+        for source in sorted(top.rglob("*.py")):
+            packed.write(source, str(source.relative_to(top.parent)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
