@@ -1,8 +1,9 @@
 """Forests whose leaves are a feature space.
 
-Trees are grown from exact splits on training rows that are broadcast after a check of their size (training
-tables are plot-scale); each (target, tree) is a task of its own, boosted targets are a task each. Larger tables
-are fitted by ``pyspark.ml``, whose splits are those of binned features. Trees can't match another implementation's
+Trees are grown from exact splits on all training rows; each (target, tree) is a task of its own, boosted targets are a
+task each. Rows of up to ``TRAIN_BYTES`` go along with the function, those of larger tables as a file in the shared folder;
+the trees are the same. ``LargeForest`` and ``LargeBoosting``, whose splits are those of binned features (``pyspark.ml``),
+hold no table in one task; they are to be named, no fit turns to them by the size of its input. Trees can't match another implementation's
 node for node, as random streams differ; what is kept is what leaves mean.
 """
 
@@ -16,13 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.linalg import matrix_of
 from kindred.functions.schema import target_kinds, validate_features, validate_targets, vector_of
+from kindred.functions.storage import folder
 
-#: Largest training table (features and targets) that is broadcast, in bytes.
+#: Largest training table (features and targets) that the driver sorts and sends along, in bytes.
 TRAIN_BYTES = 64 << 20
 
 
@@ -338,6 +341,69 @@ def train_improvement(losses: Sequence[float]) -> np.ndarray:
     return np.ones_like(drop) if np.allclose(drop, 0.0) else drop / drop.sum()
 
 
+class _Rows:
+    """Sorted training rows: features, and a column of numbers (or numbered classes) for each target."""
+
+    def __init__(self, x: np.ndarray, ys: list[np.ndarray]):
+        self.x, self.ys = x, ys
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.x, self.ys[i]
+
+
+class _StoredRows(_Rows):
+    """The same from a file that all tasks can read, with a column for each feature and target; a task reads its target only."""
+
+    def __init__(self, uri: str, width: int):
+        self.uri, self.width = uri, width
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        store, path = pyarrow.fs.FileSystem.from_uri(self.uri)
+        with store.open_input_file(path) as source:
+            found = pa.ipc.open_file(source).read_all()
+            x = np.empty((found.num_rows, self.width))
+            for j in range(self.width):
+                x[:, j] = found.column(j).to_numpy()
+            return x, found.column(self.width + i).to_numpy()
+
+
+def _sorted_rows(x: np.ndarray, rows: pd.DataFrame, kinds: Sequence[str]) -> tuple[_Rows, list[list | None]]:
+    """Training rows in an order of their own, as they come in any, and the classes of each target."""
+    names = [f"_t{i}" for i in range(len(kinds))]
+    order = np.lexsort([*[pd.factorize(rows[a], sort=True)[0] for a in names], *x.T])
+    x, rows = x[order], rows.iloc[order]
+    ys, found = [], []
+    for kind, a in zip(kinds, names):
+        classes = None
+        if kind == "classification":
+            classes, y = np.unique(rows[a].astype(str).to_numpy(), return_inverse=True)
+        else:
+            y = rows[a].to_numpy(float)
+        found.append(classes if classes is None else list(classes))
+        ys.append(np.asarray(y, float))
+    return _Rows(x, ys), found
+
+
+def _stored(rows: DataFrame, kinds: Sequence[str]) -> tuple[_StoredRows, list[list | None]]:
+    """Sorts the rows in one task, which writes them for those of the trees; the driver gets the classes only."""
+    uri, names = f"{folder(rows.sparkSession)}/rows.arrow", rows.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        x = np.concatenate([matrix_of(c) for c in held.column(0).chunks if len(c)]).astype(float)
+        made, classes = _sorted_rows(x, held.drop_columns(names[:1]).to_pandas(), kinds)
+        columns = [*made.x.T, *made.ys]
+        store, path = pyarrow.fs.FileSystem.from_uri(uri)
+        store.create_dir(path.rsplit("/", 1)[0])
+        packed = pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], [str(i) for i in range(len(columns))])
+        with store.open_output_stream(path) as out, pa.ipc.new_file(out, packed.schema) as file:
+            file.write_table(packed)
+        yield pa.RecordBatch.from_arrays([pa.array([made.x.shape[1]], pa.int32()), pa.array([pickle.dumps(classes)], pa.binary())], ["width", "classes"])
+
+    width, classes = rows.repartition(1).mapInArrow(write, "width int, classes binary").first()
+    return _StoredRows(uri, width), pickle.loads(bytes(classes))
+
+
 class TreeNodeTransformer:
     """Base: one forest for each target; a row becomes the leaf it reaches in each tree.
 
@@ -353,27 +419,16 @@ class TreeNodeTransformer:
         self.target_kinds_ = target_kinds(df, targets, categorical)
         validate_targets(df, targets)
         n = validate_features(df, columns)
-        if n * (len(columns) + len(targets)) * 8 > TRAIN_BYTES:
-            self.large_ = _large_for(self).fit(df, columns, targets, categorical)
-            for state in ("forests_", "n_trees_per_iteration_", "tree_weights_", "classes_"):
-                setattr(self, state, getattr(self.large_, state))
-            return self
-        self.large_ = None
         names = [f"_t{i}" for i in range(len(targets))]
-        rows = df.select(vector_of(columns).alias("x"), *[F.col(f"`{t}`").alias(a) for t, a in zip(targets, names)]).toPandas()
-        x = np.vstack(rows["x"]).astype(float)
-        order = np.lexsort([*[pd.factorize(rows[a], sort=True)[0] for a in names], *x.T])  # rows come in any order
-        x, rows = x[order], rows.iloc[order]
-        ys, self.classes_ = [], []
-        for t, a in zip(targets, names):
-            if self.target_kinds_[t] == "classification":
-                classes, y = np.unique(rows[a].astype(str).to_numpy(), return_inverse=True)
-                self.classes_.append(list(classes))
-            else:
-                y = rows[a].to_numpy(float)
-                self.classes_.append(None)
-            ys.append(np.asarray(y, float))
-        self._train(df, x, ys)
+        kinds = [self.target_kinds_[t] for t in targets]
+        rows = df.select(vector_of(columns).alias("x"), *[F.col(f"`{t}`").alias(a) for t, a in zip(targets, names)])
+        if n * (len(columns) + len(targets)) * 8 > TRAIN_BYTES:
+            _check_options(self)
+            held, self.classes_ = _stored(rows, kinds)
+        else:
+            frame = rows.toPandas()
+            held, self.classes_ = _sorted_rows(np.vstack(frame["x"]).astype(float), frame, kinds)
+        self._train(df, held)
         return self
 
     @property
@@ -400,8 +455,6 @@ class TreeNodeTransformer:
         """``df`` with the leaf ids as an array column."""
         if not hasattr(self, "forests_"):
             raise RuntimeError(f"This {type(self).__name__} is not fitted yet")
-        if getattr(self, "large_", None):
-            return self.large_.transform(df, name)
         shared = df.sparkSession.sparkContext.broadcast(self.forests_)
         own = df.columns
 
@@ -433,7 +486,7 @@ class RFNodeTransformer(TreeNodeTransformer):
     def __init__(self, *, n_estimators: int = 50, criterion_reg: str = "squared_error", criterion_clf: str = "gini", max_depth: int | None = None, min_samples_split: int | float = 2, min_samples_leaf: int | float = 5, min_weight_fraction_leaf: float = 0.0, max_features_reg: str | int | float | None = 1.0, max_features_clf: str | int | float | None = "sqrt", max_leaf_nodes: int | None = None, min_impurity_decrease: float = 0.0, bootstrap: bool = True, max_samples: int | float | None = None, class_weight_clf: str | dict | None = None, ccp_alpha: float = 0.0, random_state: int | None = None):
         self.__dict__.update({k: v for k, v in locals().items() if k not in ("self", "__class__")})
 
-    def _train(self, df: DataFrame, x: np.ndarray, ys: list[np.ndarray]) -> None:
+    def _train(self, df: DataFrame, held: _Rows) -> None:
         seed = 0 if self.random_state is None else self.random_state
         common = {k: getattr(self, k) for k in ("max_depth", "min_samples_split", "min_samples_leaf", "min_weight_fraction_leaf", "max_leaf_nodes", "min_impurity_decrease", "ccp_alpha")}
         classes, bootstrap, most, rule = self.classes_, self.bootstrap, self.max_samples, self.class_weight_clf
@@ -442,7 +495,8 @@ class RFNodeTransformer(TreeNodeTransformer):
 
         def work(i: int, j: int) -> Tree:
             random = np.random.default_rng([seed, i, j])
-            n, y = len(x), ys[i]
+            x, y = held.of(i)
+            n = len(x)
             w = _class_weights(y, rule, classes[i])
             if bootstrap:
                 size = n if most is None else (max(1, round(most * n)) if isinstance(most, float) else most)
@@ -451,10 +505,10 @@ class RFNodeTransformer(TreeNodeTransformer):
             target = y[:, None] if classes[i] is None else np.eye(len(classes[i]))[y.astype(int)]
             return (reg if classes[i] is None else clf).grow(x[rows], target[rows], w[rows].astype(float), random)
 
-        made = self._run(df, [(i, j) for i in range(len(ys)) for j in range(self.n_estimators)], work)
-        self.forests_ = [[made[i, j] for j in range(self.n_estimators)] for i in range(len(ys))]
-        self.n_trees_per_iteration_ = [1] * len(ys)
-        self.tree_weights_ = [np.full(self.n_estimators, 1.0 / self.n_estimators) for _ in ys]
+        made = self._run(df, [(i, j) for i in range(len(classes)) for j in range(self.n_estimators)], work)
+        self.forests_ = [[made[i, j] for j in range(self.n_estimators)] for i in range(len(classes))]
+        self.n_trees_per_iteration_ = [1] * len(classes)
+        self.tree_weights_ = [np.full(self.n_estimators, 1.0 / self.n_estimators) for _ in classes]
 
     def get_feature_names_out(self) -> list[str]:
         return [f"rf{i}_tree{k}" for i, f in enumerate(self.forests_) for k in range(len(f))]
@@ -464,7 +518,7 @@ class GBNodeTransformer(TreeNodeTransformer):
     def __init__(self, *, loss_reg: str = "squared_error", loss_clf: str = "log_loss", learning_rate: float = 0.1, n_estimators: int = 100, subsample: float = 1.0, criterion: str = "friedman_mse", min_samples_split: int | float = 2, min_samples_leaf: int | float = 1, min_weight_fraction_leaf: float = 0.0, max_depth: int | None = 3, min_impurity_decrease: float = 0.0, max_features: str | int | float | None = None, alpha_reg: float = 0.9, max_leaf_nodes: int | None = None, validation_fraction: float = 0.1, n_iter_no_change: int | None = None, tol: float = 1e-4, ccp_alpha: float = 0.0, random_state: int | None = None, tree_weighting_method: str = "train_improvement"):
         self.__dict__.update({k: v for k, v in locals().items() if k not in ("self", "__class__")})
 
-    def _train(self, df: DataFrame, x: np.ndarray, ys: list[np.ndarray]) -> None:
+    def _train(self, df: DataFrame, held: _Rows) -> None:
         if self.tree_weighting_method not in ("train_improvement", "uniform"):
             raise ValueError(f"Invalid tree_weighting_method: {self.tree_weighting_method}. Must be 'train_improvement' or 'uniform'.")
         seed = 0 if self.random_state is None else self.random_state
@@ -476,11 +530,11 @@ class GBNodeTransformer(TreeNodeTransformer):
         models = [Boosting("regression" if c is None else "classification", self.loss_reg if c is None else self.loss_clf, *rest) for c in classes]
 
         def work(i: int, j: int):
-            return models[i].fit(x, ys[i], len(classes[i] or ()), seed + i)
+            return models[i].fit(*held.of(i), len(classes[i] or ()), seed + i)
 
-        made = self._run(df, [(i, 0) for i in range(len(ys))], work)
+        made = self._run(df, [(i, 0) for i in range(len(classes))], work)
         self.forests_, self.n_trees_per_iteration_, self.tree_weights_, self.losses_ = [], [], [], []
-        for i in range(len(ys)):
+        for i in range(len(classes)):
             stages, losses = made[i, 0]
             per = len(stages[0])
             self.forests_.append([s[c] for c in range(per) for s in stages])  # class-major
@@ -639,13 +693,12 @@ class LargeBoosting(_Large):
         return GBNodeTransformer.get_feature_names_out(self)
 
 
-def _large_for(small: TreeNodeTransformer) -> _Large:
-    """The transformer for large tables with the options of a small one; an option that it lacks has to have its default."""
+def _check_options(small: TreeNodeTransformer) -> None:
+    """Options that a table beyond ``TRAIN_BYTES`` may not have: others than those of the transformers for large tables."""
     import inspect
 
     kind = LargeForest if isinstance(small, RFNodeTransformer) else LargeBoosting
     known, defaults = inspect.signature(kind.__init__).parameters, inspect.signature(type(small).__init__).parameters
     lost = [n for n, p in defaults.items() if n != "self" and n not in known and getattr(small, n) != p.default]
     if lost:
-        raise ValueError(f"A training table of this size is fitted by pyspark.ml, which has no {', '.join(lost)}")
-    return kind(**{n: getattr(small, n) for n in defaults if n in known and n != "self"})
+        raise ValueError(f"A training table of this size is fitted without {', '.join(lost)}")

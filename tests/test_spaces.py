@@ -376,3 +376,21 @@ def test_p_values_of_many_sites():
             weights = np.where(np.arange(1, 2_000_001) % 2 == 1, 4, 2)
             weights[-1] = 1
             assert abs(value - (weights * density).sum() * wilks / 2_000_000 / 3) < 1e-7
+
+
+@pytest.mark.parametrize("transformer, params", [(GBNodeTransformer, {"max_depth": 1, "learning_rate": 0.5}), (GBNodeTransformer, {"subsample": 0.5}), (RFNodeTransformer, {})])
+def test_trees_are_those_of_a_small_table_beyond_the_limit(spark, monkeypatch, transformer, params):
+    """More values than a binned split tells apart."""
+    from kindred.operators import trees
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3_000, 2))
+    rows = spark.createDataFrame([(i, *map(float, v), float(np.sin(3 * v[0]) + v[1] / 3), "yes" if v[0] > v[1] else "no", bool(v[1] > 0)) for i, v in enumerate(x)], "id long, a double, b double, y double, kind string, flag boolean")
+    fit = lambda: transformer(n_estimators=2, random_state=3, **params).fit(rows, ["a", "b"], ["y", "kind", "flag"])
+    small = fit()
+    monkeypatch.setattr(trees, "TRAIN_BYTES", 0)
+    large = fit()
+    assert large.classes_ == small.classes_ and all((a == b).all() for a, b in zip(large.tree_weights_, small.tree_weights_))
+    assert large.apply(x).tolist() == small.apply(x).tolist()
+    for a, b in zip((t for f in large.forests_ for t in f), (t for f in small.forests_ for t in f)):
+        assert a.threshold.tolist() == b.threshold.tolist()
